@@ -7,24 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than this share of the rows (and at least MIN_HOT of them). There
-#: can be at most 1 / HOT_SHARE such keys, which bounds what is collected and broadcast.
-HOT_SHARE = 1 / 500
+#: A key is hot when it is among the MAX_HOT most frequent ones and holds at least MIN_HOT rows. The
+#: number bounds what is collected and broadcast; no other key can hold more than 1 / MAX_HOT of the
+#: rows.
+MAX_HOT = 500
 MIN_HOT = 20_000
 
 
-def hot_keys(df: DataFrame, on: list[str], total: int | None = None) -> list[tuple]:
-    """Keys of ``df`` that hold more than HOT_SHARE of its rows: fewer than 1 / HOT_SHARE of them.
+def hot_keys(df: DataFrame, on: list[str]) -> list[tuple]:
+    """The at most MAX_HOT keys of ``df`` that are hot.
 
     The count combines on the map side, so a hot key costs one row per task. Keys holding a null are
     never hot: they match nothing in an equi-join.
     """
-    total = df.count() if total is None else total
-    if total < MIN_HOT:
-        return []
-    least = max(MIN_HOT, int(total * HOT_SHARE))
-    counts = df.dropna(subset=on).groupBy(*on).count().where(F.col("count") >= least)
-    return [tuple(r[c] for c in on) for r in counts.select(*on).collect()]
+    counts = df.select(*on).dropna().groupBy(*on).count().where(F.col("count") >= MIN_HOT)
+    return [tuple(r[c] for c in on) for r in counts.orderBy(F.desc("count")).limit(MAX_HOT).collect()]
 
 
 def _is_hot(on: list[str], keys: list[tuple]) -> Column:
@@ -33,17 +30,14 @@ def _is_hot(on: list[str], keys: list[tuple]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(on, k, strict=True)]) for k in keys]), F.lit(False))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", right_unique: bool = True, total: int | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which the hot keys of ``left`` are joined by broadcast and the rest by shuffle.
 
-    ``right`` must hold each key once (``right_unique``), so what is broadcast has fewer than
-    1 / HOT_SHARE rows. ``how`` is inner, left, left_semi or left_anti. Without hot keys it is the
+    ``right`` must hold each key once, so what is broadcast has at most MAX_HOT rows. ``how`` is inner, left, left_semi or left_anti. Without hot keys it is the
     plain join. Rows of ``left`` whose key holds a null match nothing. An empty side gives the
     ordinary result of the join.
     """
-    if not right_unique:
-        raise ValueError("skew_join needs one row per key on the right")
-    keys = hot_keys(left, on, total)
+    keys = hot_keys(left, on)
     if not keys:
         return left.join(right, on, how)
     hot = _is_hot(on, keys)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import DOI_PATTERN, doi, doi_registrant, doi_suffix
+from graphloom.functions.text import DOI_PATTERN, doi, doi_registrant, doi_suffix, once
 from graphloom.operators.nested import WORK, WORK_CHILDREN, FlatTables
 from graphloom.operators.orphans import orphan_references, orphan_report
 from graphloom.session import read
@@ -40,18 +40,18 @@ def p1_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cited DOI of both tables, with a composite key of registrant and suffix."""
     works = read(spark, sf_dir, "crossref_works").select("record_id", "fetched_at", F.col("message.reference.DOI").alias("cited"))
-    refs = works.select(F.lit("crossref_works").alias("tbl"), F.col("record_id").alias("row_id"), F.posexplode("cited").alias("pos", "cited"), F.col("fetched_at").alias("time"))
-    cites = read(spark, sf_dir, "cites").select(F.lit("cites").alias("tbl"), F.col("cite_id").alias("row_id"), F.lit(0).alias("pos"), F.col("dst").alias("cited"), F.col("seen_at").alias("time"))
-    both = refs.select("tbl", "row_id", "pos", "cited", "time").unionByName(cites)
-    return both.withColumn("cited", doi("cited")).select("tbl", "row_id", "pos", "time", doi_registrant(F.col("cited")).alias("registrant"), doi_suffix(F.col("cited")).alias("suffix"))
+    refs = works.select(F.lit("crossref_works").alias("tbl"), F.col("record_id").alias("row_id"), F.posexplode(F.transform("cited", doi)).alias("pos", "doi"), F.col("fetched_at").alias("time"))
+    cites = read(spark, sf_dir, "cites").select(F.lit("cites").alias("tbl"), F.col("cite_id").alias("row_id"), F.lit(0).alias("pos"), once(doi("dst")).alias("doi"), F.col("seen_at").alias("time"))
+    both = refs.select("tbl", "row_id", "pos", "doi", "time").unionByName(cites)
+    return both.select("tbl", "row_id", "pos", "time", doi_registrant(F.col("doi")).alias("registrant"), doi_suffix(F.col("doi")).alias("suffix"))
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From when each DOI is held and from when it is withdrawn."""
     nothing = F.lit(None).cast("timestamp_ntz")
-    held = read(spark, sf_dir, "crossref_works").select(doi("message.DOI").alias("doi"), F.col("fetched_at").alias("held"), nothing.alias("gone"))
-    seed = read(spark, sf_dir, "seed_works").select(doi("doi").alias("doi"), F.col("added_at").alias("held"), nothing.alias("gone"))
-    gone = read(spark, sf_dir, "withdrawals").select(doi("doi").alias("doi"), nothing.alias("held"), F.col("withdrawn_at").alias("gone"))
+    held = read(spark, sf_dir, "crossref_works").select(once(doi("message.DOI")).alias("doi"), F.col("fetched_at").alias("held"), nothing.alias("gone"))
+    seed = read(spark, sf_dir, "seed_works").select(once(doi("doi")).alias("doi"), F.col("added_at").alias("held"), nothing.alias("gone"))
+    gone = read(spark, sf_dir, "withdrawals").select(once(doi("doi")).alias("doi"), nothing.alias("held"), F.col("withdrawn_at").alias("gone"))
     every = held.unionByName(seed).unionByName(gone).where(F.col("doi").isNotNull())
     return every.select(doi_registrant(F.col("doi")).alias("registrant"), doi_suffix(F.col("doi")).alias("suffix"), "held", "gone")
 
@@ -98,7 +98,7 @@ _CHILDREN = (
     )
 )
 
-_DOI = f"nullif(regexp_extract(replace(lower(trim({{0}})), '%2f', '/'), '{DOI_PATTERN}', 1), '')"
+_DOI = f"nullif(regexp_extract(replace(lower({{0}}), '%2f', '/'), '{DOI_PATTERN.replace(chr(92) + 'u00a0', '')}', 1), '')"
 
 _P4 = f"""
 WITH refs AS (
