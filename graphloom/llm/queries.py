@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import merkle, packing, pairs
+from graphloom.llm import leaks, lookalike, merkle, packing, pairs, spam
 from graphloom.session import read
 
 CONTAINER_TOKENS = 4096
@@ -15,6 +15,25 @@ MIN_SHARED = 5
 MIN_LIFT = 3
 
 
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = read(spark, sf_dir, "crossref_works").select(F.col("record_id").alias("id"), F.col("message.title").alias("title"), F.col("message.author").alias("author"))
+    titles = works.where(F.size("title") > 0).select("id", F.lit("title").alias("field"), lookalike.joined(F.col("title")).alias("raw"))
+    people = works.where(F.size("author") > 1)
+    names = F.flatten(F.transform("author", lambda a: F.array(a["given"], a["family"])))
+    return titles.unionByName(people.select("id", F.lit("author").alias("field"), lookalike.joined(names).alias("raw")))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every title and author list; parts are set apart by bars."""
+    forms = lookalike.consistent_forms(_shown(spark, sf_dir))
+    return forms.select(F.col("id").alias("record_id"), "field", F.translate("form", lookalike.SEPARATOR + lookalike.MISSING, "|").alias("form"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose titles or author lists look the same but differ in their characters."""
+    return lookalike.visually_equal(lookalike.consistent_forms(_shown(spark, sf_dir)))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = F.struct("id", "doi", "title", "journal", "authors", "year", "citations")
     papers = read(spark, sf_dir, "papers").select(F.lit("papers").alias("tbl"), F.col("paper_no").alias("id"), F.to_json(described, {"ignoreNullFields": "false"}).alias("json"))
@@ -54,4 +73,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_pack(spark, sf_dir), CONTAINER_TOKENS)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_collapsed, p6_found, p6_pairs, p7_pack, p7_report)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that leak test items."""
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of repeated keywords, links or tags."""
+    return spam.spam_pages(read(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_collapsed, p6_found, p6_pairs, p7_pack, p7_report, p8_found, p9_found)}
