@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, lookalike, merkle, packing, pairs, spam
+from graphloom.llm import leaks, lookalike, merkle, names, packing, pairs, spam
 from graphloom.session import read
 
 CONTAINER_TOKENS = 4096
@@ -51,6 +51,16 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.collapsed(_records(spark, sf_dir), "message")
 
 
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the author index with the entity that they mean."""
+    return names.entities(read(spark, sf_dir, "author_index"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows of the author index that mean the same person or organisation."""
+    return names.same_entity_pairs(p5_entities(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of authors that share papers more often than by chance."""
     found = pairs.associations(read(spark, sf_dir, "papers"), "paper_no", "authors", MIN_SHARED)
@@ -83,4 +93,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(read(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_collapsed, p6_found, p6_pairs, p7_pack, p7_report, p8_found, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_collapsed, p5_found, p5_entities, p6_found, p6_pairs, p7_pack, p7_report, p8_found, p9_found)}
