@@ -8,8 +8,10 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,32 +76,61 @@ def canonical(text: str, names: frozenset[str]) -> list[tuple[str, str]]:
     return out
 
 
-def _hash(parts: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
-WINDOWS = "id bigint, size int, pos int, template bigint, exact bigint, slots array<string>"
-
-
-def _windower(names: frozenset[str], width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@lru_cache(maxsize=1 << 17)
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def _rolled(words: list[str], width: int) -> np.ndarray:
+    """64-bit hash of every run of ``width`` words."""
+    out = np.zeros(len(words) - width + 1, np.uint64)
+    each = np.fromiter((_hash(w) for w in words), np.uint64, len(words))
+    for k in range(width):
+        out = out * _FACTOR + each[k : k + len(out)]
+    return out ^ (out >> np.uint64(29))
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+WINDOWS = "id bigint, size int, at int, template bigint, exact bigint, slots string"
+_ARROW = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("template", pa.int64()), ("exact", pa.int64()), ("slots", pa.string())])
+#: Texts whose windows are sent on together; bounds a worker's memory.
+TEXTS_A_BATCH = 250
+
+
+def _windower(names: frozenset[str], width: int, wanted: np.ndarray | None):
+    def windows(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        cols: list[list] = [[], [], [], [], []]
+        slots: list[str] = []
+        for doc, text in zip(ids, texts, strict=True):
+            form = canonical(text, names)
+            w = min(width, len(form))
+            if not w:
+                continue
+            template = _rolled([p for p, _ in form], w)
+            keep = np.arange(len(template)) if wanted is None else np.flatnonzero(np.isin(template, wanted, kind="sort"))
+            if not len(keep):
+                continue
+            exact = _rolled([x for _, x in form], w)
+            for col, values in zip(cols, (np.full(len(keep), doc, np.int64), np.full(len(keep), len(form), np.int32), keep.astype(np.int32), template[keep].view(np.int64), exact[keep].view(np.int64)), strict=True):
+                col.append(values)
+            slots += [" ".join(x for p, x in form[k : k + w] if p[0] == "<") for k in keep]
+        arrays = [pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(cols, _ARROW, strict=False)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(slots, pa.string())], schema=_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                form = canonical(text, names)
-                w = min(width, len(form))
-                for k in range(len(form) - w + 1 if w else 0):
-                    part = form[k : k + w]
-                    rows.append((doc, len(form), k, _hash([p for p, _ in part]), _hash([x for _, x in part]), [x for p, x in part if p[0] == "<"]))
-            yield pd.DataFrame(rows, columns=["id", "size", "pos", "template", "exact", "slots"])
+            for start in range(0, batch.num_rows, TEXTS_A_BATCH):
+                part = batch.slice(start, TEXTS_A_BATCH)
+                yield windows(part.column(0).to_pylist(), part.column(1).to_pylist())
 
     return run
 
 
-def template_windows(texts: DataFrame, id_col: str, text_col: str, names: frozenset[str], width: int = WINDOW) -> DataFrame:
-    """Every window of every text: hash of its template, hash of its words, the words in its slots."""
+def template_windows(texts: DataFrame, id_col: str, text_col: str, names: frozenset[str], width: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
+    """Every window of every text (or those whose template is ``wanted``): place, hash of its
+    template, hash of its words, the words in its slots."""
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_windower(names, width), WINDOWS)
+    return rows.mapInArrow(_windower(names, width, wanted), WINDOWS)
 
 
 def _covered(positions: str, width: int) -> object:
@@ -119,23 +150,25 @@ def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text:
     with other numbers and names). Each window of the item counts once, so what a page repeats counts
     no more.
 
-    All windows of all pages are hash-joined with those of the items: by broadcast while these are
-    few (the number is checked), else by shuffle. A page's matches combine before they are shuffled.
+    All windows of all pages are hash-joined with those of the items: while these are few (the number
+    is checked), what can't match is dropped where it is made and the rest joined by broadcast, else
+    by shuffle. A page's matches combine before they are shuffled.
     Null ids and texts are left out; texts shorter than a window make one window; repeated rows give
     one result; extra columns are ignored; an empty side gives no rows.
     """
     questions = items.where(F.col(item_text).isNotNull()).select(item_id, item_text)
     names = item_names([r[0] for r in questions.select(item_text).toLocalIterator()])
-    known = cut(template_windows(questions, item_id, item_text, names, width).select(F.col("id").alias("item_id"), F.col("size").alias("words"), F.col("pos").alias("at"), "template", F.col("exact").alias("item_exact"), F.col("slots").alias("item_slots")))
+    known = cut(template_windows(questions, item_id, item_text, names, width).select(F.col("id").alias("item_id"), F.col("size").alias("words"), "at", "template", F.col("exact").alias("item_exact"), F.col("slots").alias("item_slots")))
     few = known.count() <= BROADCAST_WINDOWS
-    met = template_windows(corpus, doc_id, doc_text, names, width).join(F.broadcast(known) if few else known, "template")
+    wanted = np.unique(np.fromiter((r[0] for r in known.select("template").toLocalIterator()), np.int64).view(np.uint64)) if few else None
+    met = template_windows(corpus, doc_id, doc_text, names, width, wanted).drop("size", "at").join(F.broadcast(known) if few else known, "template")
     same = F.col("exact") == F.col("item_exact")
     pairs = met.groupBy("id", "item_id").agg(
         F.min("words").alias("words"), F.collect_set("at").alias("at"), F.collect_set(F.when(same, F.col("at"))).alias("at_exact"), F.collect_set(F.struct("item_slots", "slots")).alias("slots")
     )
     span = F.least(F.lit(width), F.col("words"))
     covered = pairs.select("id", "item_id", "slots", (_covered("at_exact", width) / F.col("words")).alias("covered"), (_covered("at", width) / F.col("words")).alias("template"), span.alias("span"))
-    renamed = F.array_distinct(F.flatten(F.transform("slots", lambda s: F.arrays_zip(s["item_slots"].alias("a"), s["slots"].alias("b")))))
+    renamed = F.array_distinct(F.flatten(F.transform("slots", lambda s: F.arrays_zip(F.split(s["item_slots"], " ").alias("a"), F.split(s["slots"], " ").alias("b")))))
     sources = F.array_distinct(F.transform(renamed, lambda r: r["a"]))
     consistent = F.when(F.size(renamed) == 0, 1.0).otherwise(F.size(F.filter(sources, lambda s: F.size(F.filter(renamed, lambda r: r["a"] == s)) == 1)) / F.size(sources))
     near = covered.where((F.col("covered") >= MIN_COVER) | (F.col("template") >= MIN_TEMPLATE)).withColumn("consistent", consistent)

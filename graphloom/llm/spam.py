@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
+
 #: A word belongs to a language's prose if this share of its pages uses it. As a page uses a bounded
 #: number of words on average, few words can: at most (mean number of words a page) / COMMON.
 COMMON = 0.3
@@ -81,7 +83,7 @@ def spam_pages(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored; an empty table gives no rows.
     """
     profile = prose_words(pages, id_col, text_col, lang_col)
-    curves = rank_frequency_curves(word_counts(pages, id_col, text_col, lang_col), profile).where(F.col("n") >= MIN_WORDS)
+    curves = cut(rank_frequency_curves(word_counts(pages, id_col, text_col, lang_col), profile).where(F.col("n") >= MIN_WORDS))
     known = profile.select(F.explode("langs").alias("own")).distinct()
     placed = curves.join(F.broadcast(known), F.col("lang") == F.col("own"), "left").withColumn("l", F.coalesce("own", "best")).withColumn("x", F.ln("n"))
     usual = placed.groupBy("l").agg(
