@@ -42,10 +42,14 @@ _STARTS = re.compile(r"(?:^|[.!?:;\"“”(\n])\s*$")
 
 
 def tokens(text: str) -> list[tuple[str, bool]]:
-    """Words without layout, and whether each could owe a capital to its place."""
+    """Words without layout, and whether each owes a capital it has to its place."""
     text = _HIDDEN.sub("", unicodedata.normalize("NFKC", _TAG.sub(" ", html.unescape(text))))
     text = _INNER.sub("", _BROKEN.sub("", _ESCAPED.sub("\n", text)))
-    return [(m.group(), bool(_STARTS.search(text[max(0, m.start() - 4) : m.start()]))) for m in _WORD.finditer(text)]
+    out = []
+    for m in _WORD.finditer(text):
+        word = m.group()
+        out.append((word, word[0].isupper() and bool(_STARTS.search(text[max(0, m.start() - 4) : m.start()]))))
+    return out
 
 
 def item_names(texts: list[str]) -> frozenset[str]:
@@ -104,10 +108,10 @@ def _windower(names: frozenset[str], width: int, wanted: np.ndarray | None):
         for doc, text in zip(ids, texts, strict=True):
             form = canonical(text, names)
             w = min(width, len(form))
-            if not w:
+            if not w or (wanted is not None and not len(wanted)):
                 continue
             template = _rolled([p for p, _ in form], w)
-            keep = np.arange(len(template)) if wanted is None else np.flatnonzero(np.isin(template, wanted, kind="sort"))
+            keep = np.arange(len(template)) if wanted is None else np.flatnonzero(wanted[np.searchsorted(wanted, template).clip(max=len(wanted) - 1)] == template)
             if not len(keep):
                 continue
             exact = _rolled([x for _, x in form], w)
