@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import cut_step as cut
 
 MAX_ROUNDS = 60
 

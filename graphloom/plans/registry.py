@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import records
+from graphloom.plans import graph_queries, records
 
-MODULES = (records,)
+MODULES = (records, graph_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query the driver's smoke check runs."""
-    return records.p4_report(spark, sf_dir)
+    return graph_queries.degree_centrality_top10(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

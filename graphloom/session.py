@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_step(df: DataFrame) -> DataFrame:
+    """``cut`` for the steps of a loop.
+
+    A checkpoint remembers the constraints its plan implied; joined round after round they multiply
+    until planning takes longer than running. Here the result starts from the bare rows.
+    """
+    spark = df.sparkSession
+    kept = cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that one query writes and reads again."""
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
