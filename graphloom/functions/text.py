@@ -41,16 +41,6 @@ def doi_suffix(canonical: Column) -> Column:
     return F.substr(canonical, F.locate("/", canonical) + 1)
 
 
-def casefold(c: Column) -> Column:
-    """Lower case in which letters that differ only by case are equal (sharp s and double s too)."""
-    return F.lower(F.upper(c))
-
-
-def squash(c: Column) -> Column:
-    """Text without case, white space and punctuation."""
-    return F.regexp_replace(casefold(c), r"[\p{P}\p{Z}\s$+<=>^`|~​﻿]+", "")
-
-
 def strip(c: Column) -> Column:
     """Text without outer blanks of any kind."""
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")

@@ -27,21 +27,21 @@ def communities(graph: PropertyGraph, method: str = "louvain", weight: str = "we
     return per_component(own, method, "id {id}, community {id}", {"total": float(total), "resolution": resolution}, ("weight",)).select("id", "community")
 
 
-def label_propagation(graph: PropertyGraph, max_rounds: int = 30) -> DataFrame:
+def label_propagation(graph: PropertyGraph, max_rounds: int = 60) -> DataFrame:
     """(``id``, ``community``) by majority of neighbours' labels; ties keep the own label, then take
-    the least. Vertices of even and odd hash take turns, so labels don't swing."""
+    the least. In each round a hash of id and round says which half of the vertices may change, so
+    neighbours don't swing; ends when no vertex wants to."""
     both = cut(graph.undirected().arcs().where("src <> dst").select("src", "dst"))
-    labels = cut(graph.vertices.select("id", F.col("id").alias("label"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("turn")))
-    for r in range(2 * max_rounds):
+    labels = cut(graph.vertices.select("id", F.col("id").alias("label")))
+    for r in range(max_rounds):
         votes = both.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
-        judged = votes.join(labels.select("id", F.col("label").alias("own"), "turn"), "id").where(F.col("turn") == r % 2)
+        judged = votes.join(labels.select("id", F.col("label").alias("own")), "id")
         best = judged.groupBy("id").agg(F.min(F.struct(-F.col("n"), (F.col("label") != F.col("own")).cast("int"), "label")).alias("b"))
-        new = cut(labels.join(best.select("id", F.col("b.label").alias("next")), "id", "left").select("id", F.coalesce("next", "label").alias("label"), "turn", (F.col("next") != F.col("label")).alias("moved")))
-        labels = new.select("id", "label", "turn")
-        still = not new.where("moved").limit(1).count()
-        if still and r and quiet:  # both turns without a change
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        new = cut(labels.join(best.select("id", F.col("b.label").alias("next")), "id", "left").select("id", F.when(turn, F.coalesce("next", "label")).otherwise(F.col("label")).alias("label"), F.coalesce(F.col("next") != F.col("label"), F.lit(False)).alias("wants")))
+        labels = new.select("id", "label")
+        if not new.where("wants").limit(1).count():
             break
-        quiet = still
     least = labels.groupBy("label").agg(F.min("id").alias("community"))
     return labels.join(least, "label").select("id", "community")
 

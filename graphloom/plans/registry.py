@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import graph_queries, records
+from graphloom.plans import graph_queries, metric_queries, records
 
-MODULES = (records, graph_queries)
+MODULES = (records, graph_queries, metric_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
