@@ -39,7 +39,7 @@ def author_impact(papers: DataFrame, name: str, show: int = 10) -> DataFrame:
     ids. Zeros if there are none."""
     hit = papers.where(F.exists("authors", lambda a: F.contains(F.lower(a), F.lit(name.lower())))).select("id", F.coalesce("citations", F.lit(0)).cast("bigint").alias("citations"))
     counted = hit.groupBy("citations").agg(F.count(F.lit(1)).alias("n"))
-    upto = counted.join(counted.select(F.col("citations").alias("c2"), F.col("n").alias("n2")), F.col("c2") >= F.col("citations")).groupBy("citations", "n").agg(F.sum("n2").alias("upto"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("citations"))))  # a row for each distinct count
     total = upto.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("papers_found"), F.coalesce(F.max(F.least("citations", "upto")), F.lit(0)).cast("bigint").alias("h_index"), F.coalesce(F.sum(F.col("n") * F.col("citations")), F.lit(0)).cast("bigint").alias("total_citations"))
     first = hit.orderBy(F.desc("citations"), "id").limit(show).agg(F.array_sort(F.collect_list(F.struct((-F.col("citations")).alias("c"), "id"))).alias("p"))
     mean = F.coalesce(F.try_divide(F.col("total_citations"), F.col("papers_found")), F.lit(0.0))
