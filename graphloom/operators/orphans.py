@@ -13,10 +13,6 @@ from graphloom.operators.skew import skew_join
 MATCHES = ("simple", "partial", "full")
 
 
-def _any(columns: list) -> object:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))
-
-
 def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], time: str, held: str, gone: str, match: str = "simple") -> DataFrame:
     """References in ``refs`` that dangle, each with its ``reason``.
 

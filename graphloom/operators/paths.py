@@ -32,7 +32,7 @@ def bfs(arcs: DataFrame, sources: DataFrame, max_depth: int | None = None, targe
     return seen
 
 
-def _trace(spark: SparkSession, tree: DataFrame, source: object, target: object, id_type: str) -> list:
+def _trace(tree: DataFrame, source: object, target: object) -> list:
     """The path to ``target`` by following predecessors: one lookup a step."""
     known = cut(tree.select("id", "pred"))
     path = [target]
@@ -56,7 +56,7 @@ def shortest_path(graph: PropertyGraph, source: object, target: object) -> DataF
     graph.require(source, target)
     spark, kind = graph.vertices.sparkSession, dict(graph.vertices.dtypes)["id"]
     tree = bfs(graph.arcs(), spark.createDataFrame([(source,)], f"source {kind}"), target=target)
-    return _as_rows(spark, _trace(spark, tree, source, target, kind), kind)
+    return _as_rows(spark, _trace(tree, source, target), kind)
 
 
 def single_source(graph: PropertyGraph, source: object, weight: str | None = "weight", negative: bool = False) -> DataFrame:
@@ -96,7 +96,7 @@ def weighted_path(graph: PropertyGraph, source: object, target: object, weight:
     """(``step``, ``id``) of a path of least weight between two vertices."""
     graph.require(source, target)
     spark, kind = graph.vertices.sparkSession, dict(graph.vertices.dtypes)["id"]
-    return _as_rows(spark, _trace(spark, single_source(graph, source, weight, negative), source, target, kind), kind)
+    return _as_rows(spark, _trace(single_source(graph, source, weight, negative), source, target), kind)
 
 
 def all_pairs(graph: PropertyGraph, weight: str | None = None) -> DataFrame:
