@@ -173,6 +173,14 @@ def merge_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # paths -------------------------------------------------------------------------------------------
 
+
+def _ends(graph: PropertyGraph) -> tuple[int, int]:
+    """The least id with an edge and the greatest that can be reached from it."""
+    start = graph.edges.agg(F.min("src").alias("source"))
+    first = start.first()[0]
+    return first, paths.bfs(graph.arcs(), start).agg(F.max("id")).first()[0]
+
+
 _BFS = "b(id, d) USING KEY (id) AS (SELECT {start}, 0 UNION SELECT a.dst, min(b.d) + 1 FROM b JOIN arcs a ON a.src = b.id LEFT JOIN recurring.b k ON k.id = a.dst WHERE k.id IS NULL GROUP BY 1)"
 
 
@@ -183,31 +191,35 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.bfs(g.arcs(), g.edges.agg(F.min("src").alias("source"))).select("id", "depth")
 
 
-@query(f"WITH RECURSIVE {TRADE}, {_BFS.format(start=0)}, w(step, id) AS (SELECT d, id FROM b WHERE id = 24 UNION ALL SELECT step - 1, (SELECT min(a.src) FROM arcs a JOIN b ON b.id = a.src WHERE a.dst = w.id AND b.d = step - 1) FROM w WHERE step > 0) SELECT step, id FROM w")
+@query(f"WITH RECURSIVE {TRADE}, {_BFS.format(start='(SELECT min(src) FROM arcs)')}, w(step, id) AS (SELECT d, id FROM b WHERE id = (SELECT max(id) FROM b) UNION ALL SELECT step - 1, (SELECT min(a.src) FROM arcs a JOIN b ON b.id = a.src WHERE a.dst = w.id AND b.d = step - 1) FROM w WHERE step > 0) SELECT step, id FROM w")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewest edges from nation 0 to nation 24."""
-    return paths.shortest_path(views.trade(spark, sf_dir), 0, 24)
+    """Fewest edges from the first nation that sells to the last one it reaches."""
+    g = views.trade(spark, sf_dir)
+    return paths.shortest_path(g, *_ends(g))
 
 
-_SSSP = "d(id, w) USING KEY (id) AS (SELECT 0, 0.0::DOUBLE UNION SELECT a.dst, min(d.w + a.weight) FROM d JOIN arcs a ON a.src = d.id LEFT JOIN recurring.d k ON k.id = a.dst WHERE k.id IS NULL OR d.w + a.weight < k.w GROUP BY 1)"
+_SSSP = "d(id, w) USING KEY (id) AS (SELECT (SELECT min(src) FROM arcs), 0.0::DOUBLE UNION SELECT a.dst, min(d.w + a.weight) FROM d JOIN arcs a ON a.src = d.id LEFT JOIN recurring.d k ON k.id = a.dst WHERE k.id IS NULL OR d.w + a.weight < k.w GROUP BY 1)"
 
 
 @query(f"WITH RECURSIVE {TRADE}, {_SSSP} SELECT id, w AS distance FROM d")
 def dijkstra_single_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least weight from nation 0."""
-    return paths.single_source(views.trade(spark, sf_dir), 0).select("id", "distance")
+    """Least weight from the first nation that sells."""
+    g = views.trade(spark, sf_dir)
+    return paths.single_source(g, _ends(g)[0]).select("id", "distance")
 
 
-@query(f"WITH RECURSIVE {TRADE}, {_SSSP}, back(id, n) AS (SELECT 24, 0 UNION ALL SELECT (SELECT min(a.src) FROM arcs a JOIN d x ON x.id = a.src JOIN d y ON y.id = a.dst WHERE a.dst = back.id AND abs(x.w + a.weight - y.w) < 1e-9), n + 1 FROM back WHERE id <> 0) SELECT ((SELECT max(n) FROM back) - n)::INTEGER AS step, id FROM back")
+@query(f"WITH RECURSIVE {TRADE}, {_SSSP}, back(id, n) AS (SELECT (SELECT max(id) FROM d), 0 UNION ALL SELECT (SELECT min(a.src) FROM arcs a JOIN d x ON x.id = a.src JOIN d y ON y.id = a.dst WHERE a.dst = back.id AND abs(x.w + a.weight - y.w) < 1e-9), n + 1 FROM back WHERE id <> (SELECT min(src) FROM arcs)) SELECT ((SELECT max(n) FROM back) - n)::INTEGER AS step, id FROM back")
 def dijkstra_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path of least weight from nation 0 to nation 24."""
-    return paths.weighted_path(views.trade(spark, sf_dir), 0, 24)
+    """Path of least weight from the first nation that sells to the last one it reaches."""
+    g = views.trade(spark, sf_dir)
+    return paths.weighted_path(g, *_ends(g))
 
 
 @query(f"WITH RECURSIVE {TRADE}, {_SSSP} SELECT id, w AS distance FROM d")
 def bellman_ford_single_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with negative weights allowed."""
-    return paths.single_source(views.trade(spark, sf_dir), 0, negative=True).select("id", "distance")
+    g = views.trade(spark, sf_dir)
+    return paths.single_source(g, _ends(g)[0], negative=True).select("id", "distance")
 
 
 _ALL = "ap(s, v, d) USING KEY (s, v) AS (SELECT id, id, 0 FROM v UNION SELECT ap.s, a.dst, min(ap.d) + 1 FROM ap JOIN arcs a ON a.src = ap.v LEFT JOIN recurring.ap k ON k.s = ap.s AND k.v = a.dst WHERE k.s IS NULL GROUP BY 1, 2)"
@@ -267,7 +279,7 @@ def eigenvector_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centrality.eigenvector(views.trade(spark, sf_dir), fixed_rounds=20).select("id", _r("score"))
 
 
-@query(f"WITH RECURSIVE {TRADE}, m AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM arcs), n AS (SELECT count(*) AS n FROM v), x(it, id, s) AS (SELECT 0, id, 1.0::DOUBLE / n FROM v CROSS JOIN n UNION ALL SELECT it + 1, id, 0.85 * sum(g) + 0.15 / any_value(n) FROM (SELECT it, m.dst AS id, s * share AS g FROM x JOIN m ON m.src = x.id WHERE it < 20 UNION ALL SELECT it, id, 0 FROM x WHERE it < 20) CROSS JOIN n GROUP BY it, id) SELECT id, round(s, 6) AS score FROM x WHERE it = 20")
+@query(f"WITH RECURSIVE {TRADE}, m AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM arcs), n AS (SELECT count(*) AS n FROM v), x(it, id, s) AS (SELECT 0, id, 1.0::DOUBLE / n FROM v CROSS JOIN n UNION ALL SELECT it + 1, id, 0.85 * sum(g) + 0.15 / any_value(n) FROM (SELECT it, m.dst AS id, s * share AS g FROM x JOIN m ON m.src = x.id WHERE it < 20 UNION ALL SELECT it, id, coalesce(sum(CASE WHEN id NOT IN (SELECT src FROM arcs) THEN s END) OVER (), 0) / (SELECT n FROM n) FROM x WHERE it < 20) CROSS JOIN n GROUP BY it, id) SELECT id, round(s, 6) AS score FROM x WHERE it = 20")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PageRank of nations after twenty rounds."""
     return centrality.pagerank(views.trade(spark, sf_dir), fixed_rounds=20).select("id", _r("score"))
@@ -380,8 +392,9 @@ def minimum_spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def maximum_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow from nation 0 to nation 24, edge by edge."""
-    return optimise.maximum_flow(views.trade(spark, sf_dir), 0, 24)[1]
+    """Flow from the first nation that sells to the last one it reaches, edge by edge."""
+    g = views.trade(spark, sf_dir)
+    return optimise.maximum_flow(g, *_ends(g))[1]
 
 
 @query()
