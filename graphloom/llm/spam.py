@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.functions.text import once
+from graphloom.operators.skew import skew_join
+from graphloom.session import cut, scratch_path
 
 #: A word belongs to a language's prose if this share of its pages uses it. As a page uses a bounded
 #: number of words on average, few words can: at most (mean number of words a page) / COMMON.
@@ -27,18 +29,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def word_counts(pages: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(``doc_id``, ``lang``, ``word``, ``c``): one shuffle by page serves counts and curves."""
-    own = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).repartition("doc_id")
-    return own.select("doc_id", "lang", F.explode(words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("c"))
+def page_texts(pages: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(``doc_id``, ``lang``, ``words``, ``key``) of pages that hold words, written once: the words in
+    order, set apart by blanks, and their digest."""
+    path = scratch_path(pages.sparkSession, "pages")
+    told = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), once(F.array_join(words(F.col(text_col)), " ")).alias("words"))
+    told.where(F.col("words") != "").withColumn("key", F.unhex(F.md5("words"))).write.parquet(path)
+    return pages.sparkSession.read.parquet(path)
 
 
-def prose_words(pages: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(``word``, ``langs``): the common words of each language, from all its pages.
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(``key``, ``lang``, ``words``): each text once, however many pages repost it, with the language
+    most of them give. Copies combine on the map side, so a text costs one row per task."""
+    return texts.groupBy("key").agg(F.mode("lang", True).alias("lang"), F.first("words").alias("words"))
+
+
+def word_counts(distinct: DataFrame) -> DataFrame:
+    """(``key``, ``lang``, ``word``, ``c``) of distinct texts, which lie by key: no further shuffle."""
+    return distinct.select("key", "lang", F.explode(F.split("words", " ")).alias("word")).groupBy("key", "word").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("c"))
+
+
+def prose_words(distinct: DataFrame) -> DataFrame:
+    """(``word``, ``langs``): the common words of each language, from all its distinct texts.
 
     Counts combine on the map side; what remains is bounded by COMMON and LANGUAGE_SHARE.
     """
-    labelled = pages.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.array_distinct(words(F.col(text_col))).alias("words"))
+    labelled = distinct.where(F.col("lang").isNotNull()).select("lang", F.array_distinct(F.split("words", " ")).alias("words"))
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"))
     every = sizes.agg(F.sum("pages")).first()[0] or 0
     least = max(LANGUAGE_PAGES, every * LANGUAGE_SHARE)
@@ -49,29 +65,30 @@ def prose_words(pages: DataFrame, id_col: str, text_col: str, lang_col: str) ->
 
 
 def rank_frequency_curves(counts: DataFrame, profile: DataFrame) -> DataFrame:
-    """Per page: ``n`` words, ``slope`` and ``residual`` of log frequency over log rank, the best
+    """Per distinct text: ``n`` words, ``slope`` and ``residual`` of log frequency over log rank, the best
     ``share`` of prose words and the language ``best`` it belongs to.
 
     ``profile`` is bounded (``prose_words``) and broadcast.
     """
-    by_count = Window.partitionBy("doc_id").orderBy(F.desc("c"), "word")
+    by_count = Window.partitionBy("key").orderBy(F.desc("c"), "word")
     ranked = counts.withColumn("r", F.ln(F.row_number().over(by_count))).withColumn("f", F.ln("c"))
-    curve = ranked.groupBy("doc_id").agg(
+    curve = ranked.groupBy("key").agg(
         F.min("lang").alias("lang"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.regr_sxx("f", "r").alias("sxx"), F.regr_sxy("f", "r").alias("sxy"), F.regr_syy("f", "r").alias("syy")
     )
     slope = F.coalesce(F.try_divide(F.col("sxy"), F.col("sxx")), F.lit(0.0))
     residual = F.sqrt(F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0)) / F.col("k"))
-    in_prose = counts.join(F.broadcast(profile), "word").select("doc_id", "c", F.explode("langs").alias("l")).groupBy("doc_id", "l").agg(F.sum("c").alias("s"))
-    best = in_prose.groupBy("doc_id").agg(F.max("s").alias("s"), F.max_by("l", F.struct("s", "l")).alias("best"))
-    joined = curve.join(best, "doc_id", "left")
-    return joined.select("doc_id", "n", slope.alias("slope"), residual.alias("residual"), (F.coalesce("s", F.lit(0)) / F.col("n")).alias("share"), "best", "lang")
+    in_prose = counts.join(F.broadcast(profile), "word").select("key", "c", F.explode("langs").alias("l")).groupBy("key", "l").agg(F.sum("c").alias("s"))
+    best = in_prose.groupBy("key").agg(F.max("s").alias("s"), F.max_by("l", F.struct("s", "l")).alias("best"))
+    joined = curve.join(best, "key", "left")
+    return joined.select("key", "n", slope.alias("slope"), residual.alias("residual"), (F.coalesce("s", F.lit(0)) / F.col("n")).alias("share"), "best", "lang")
 
 
 def spam_pages(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(``doc_id``, ``score``, ``divergence``, ``steeper``, ``rougher``) of pages that aren't prose.
 
     Each page's words are ranked by frequency and a line is fitted to the logarithms. What a page of
-    its language and length should show is fitted over all pages: slope and residual as lines over
+    its language and length should show is fitted over all distinct texts, so that reposting a page
+    makes it no more usual: slope and residual as lines over
     the logarithm of the length, the share of prose words as a median. ``score`` is the share against
     that median, less how much steeper the curve is, less how much more it strays from the line; prose
     scores about 1, stuffing and lists below LIMIT. A low share alone (another language, rare topics)
@@ -79,11 +96,14 @@ def spam_pages(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The language is the given one, or where it is null or without a profile the one whose prose words
     are most frequent. Texts of under MIN_WORDS words and null texts are never flagged; rows with a
-    null id can't be named and are left out; a repeated row counts as more of the same page; extra
-    columns are ignored; an empty table gives no rows.
+    null id can't be named and are left out; a text repeated word for word counts once, and all its
+    pages are flagged or none; an id with several texts is flagged for the worst; extra columns are
+    ignored; an empty table gives no rows.
     """
-    profile = prose_words(pages, id_col, text_col, lang_col)
-    curves = cut(rank_frequency_curves(word_counts(pages, id_col, text_col, lang_col), profile).where(F.col("n") >= MIN_WORDS))
+    texts = page_texts(pages, id_col, text_col, lang_col)
+    distinct = cut(distinct_texts(texts))
+    profile = cut(prose_words(distinct))
+    curves = cut(rank_frequency_curves(word_counts(distinct), profile).where(F.col("n") >= MIN_WORDS))
     known = profile.select(F.explode("langs").alias("own")).distinct()
     placed = curves.join(F.broadcast(known), F.col("lang") == F.col("own"), "left").withColumn("l", F.coalesce("own", "best")).withColumn("x", F.ln("n"))
     usual = placed.groupBy("l").agg(
@@ -92,11 +112,13 @@ def spam_pages(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.regr_slope("residual", "x"), F.lit(0.0)).alias("ra"), F.coalesce(F.regr_intercept("residual", "x"), F.avg("residual")).alias("rb"),
     )
     scored = placed.join(F.broadcast(usual), "l").select(
-        "doc_id",
+        "key",
         F.coalesce(F.try_divide(F.col("share"), F.col("share0")), F.lit(0.0)).alias("divergence"),
         (F.col("sa") * F.col("x") + F.col("sb") - F.col("slope")).alias("steeper"),
         (F.col("residual") - F.col("ra") * F.col("x") - F.col("rb") - RESIDUAL_SLACK).alias("rougher"),
     )
     score = F.col("divergence") - F.greatest("steeper", F.lit(0.0)) - F.greatest("rougher", F.lit(0.0))
     flagged = scored.withColumn("score", score).where((F.col("score") < LIMIT) & ((F.col("steeper") > 0) | (F.col("divergence") < FAR_BELOW)))
-    return flagged.select("doc_id", "score", "divergence", "steeper", "rougher")
+    found = skew_join(texts.select("doc_id", "key"), cut(flagged.select("key", "score", "divergence", "steeper", "rougher")), ["key"])
+    worst = found.groupBy("doc_id").agg(F.min(F.struct("score", "divergence", "steeper", "rougher")).alias("worst"))
+    return worst.select("doc_id", "worst.*")

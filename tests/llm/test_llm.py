@@ -187,3 +187,21 @@ def test_spam(spark):
     pages = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, score int")
     assert {r["doc_id"] for r in spam.spam_pages(pages).collect()} == {100, 101, 102}
     assert spam.spam_pages(pages.limit(0)).count() == 0
+
+
+def _prose(rnd, n):
+    subject = ["the planner", "a small team", "the index", "the operator", "this section", "one partition"]
+    verb = ["merges", "samples", "rejects", "confirms", "delays", "rebuilds", "filters"]
+    rest = ["the totals for most venues", "a sampled estimator in the northern sample", "the edges of a graph after the import", "the results on a single machine", "what the readers asked for"]
+    return " ".join(f"{rnd.choice(subject).capitalize()} {rnd.choice(verb)} {rnd.choice(rest)}." for _ in range(n))
+
+
+def test_spam_reposted_by_a_third_of_all_pages(spark):
+    rnd = random.Random(7)
+    keys = ["cheap hosting", "link builder", "doi lookup", "csv converter"]
+    docs = [(i, _prose(rnd, rnd.randrange(5, 30)), "en") for i in range(80)]
+    docs += [(100, ", ".join(rnd.choice(keys) for _ in range(60)), "en"), (101, " ".join(f"https://{rnd.choice('abcde')}-shop.example/{rnd.choice(keys).replace(' ', '_')}" for _ in range(40)), None)]
+    copied = ", ".join(rnd.choice(keys) for _ in range(70))
+    docs += [(200 + i, copied, None if i % 3 == 0 else "en") for i in range(45)]
+    pages = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in spam.spam_pages(pages).collect()} == {100, 101} | {200 + i for i in range(45)}
