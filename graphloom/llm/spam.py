@@ -40,13 +40,15 @@ def page_texts(pages: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
     """(``key``, ``lang``, ``words``): each text once, however many pages repost it, with the language
-    most of them give. Copies combine on the map side, so a text costs one row per task."""
-    return texts.groupBy("key").agg(F.mode("lang", True).alias("lang"), F.first("words").alias("words"))
+    most of them give; written once. Copies combine on the map side, so a text costs one row per task."""
+    path = scratch_path(texts.sparkSession, "distinct")
+    texts.groupBy("key").agg(F.mode("lang", True).alias("lang"), F.first("words").alias("words")).write.parquet(path)
+    return texts.sparkSession.read.parquet(path)
 
 
 def word_counts(distinct: DataFrame) -> DataFrame:
-    """(``key``, ``lang``, ``word``, ``c``) of distinct texts, which lie by key: no further shuffle."""
-    return distinct.select("key", "lang", F.explode(F.split("words", " ")).alias("word")).groupBy("key", "word").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("c"))
+    """(``key``, ``lang``, ``word``, ``c``) of distinct texts: one shuffle by text serves counts and curves."""
+    return distinct.repartition("key").select("key", "lang", F.explode(F.split("words", " ")).alias("word")).groupBy("key", "word").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("c"))
 
 
 def prose_words(distinct: DataFrame) -> DataFrame:
@@ -95,25 +97,31 @@ def spam_pages(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is no reason: the curve must be steeper too, or hardly a prose word be there.
 
     The language is the given one, or where it is null or without a profile the one whose prose words
-    are most frequent. Texts of under MIN_WORDS words and null texts are never flagged; rows with a
+    are most frequent. A text without either, which holds not one prose word, has divergence 0 and is
+    held against the lines of all texts; if there is no profile at all, its divergence is 1 and the
+    curve alone decides. Texts of under MIN_WORDS words and null texts are never flagged; rows with a
     null id can't be named and are left out; a text repeated word for word counts once, and all its
     pages are flagged or none; an id with several texts is flagged for the worst; extra columns are
     ignored; an empty table gives no rows.
     """
     texts = page_texts(pages, id_col, text_col, lang_col)
-    distinct = cut(distinct_texts(texts))
+    distinct = distinct_texts(texts)
     profile = cut(prose_words(distinct))
     curves = cut(rank_frequency_curves(word_counts(distinct), profile).where(F.col("n") >= MIN_WORDS))
     known = profile.select(F.explode("langs").alias("own")).distinct()
     placed = curves.join(F.broadcast(known), F.col("lang") == F.col("own"), "left").withColumn("l", F.coalesce("own", "best")).withColumn("x", F.ln("n"))
-    usual = placed.groupBy("l").agg(
+    baseline = [
         F.percentile_approx("share", 0.5, 1000).alias("share0"),
         F.coalesce(F.regr_slope("slope", "x"), F.lit(0.0)).alias("sa"), F.coalesce(F.regr_intercept("slope", "x"), F.avg("slope")).alias("sb"),
         F.coalesce(F.regr_slope("residual", "x"), F.lit(0.0)).alias("ra"), F.coalesce(F.regr_intercept("residual", "x"), F.avg("residual")).alias("rb"),
-    )
-    scored = placed.join(F.broadcast(usual), "l").select(
+    ]
+    by_language = placed.where(F.col("l").isNotNull()).groupBy(F.col("l").alias("of")).agg(*baseline)
+    usual = by_language.unionByName(placed.agg(*baseline).withColumn("of", F.lit(None).cast("string")))
+    # without a profile anywhere, a missing prose word says nothing
+    untold = F.col("l").isNull() & (F.coalesce("share0", F.lit(0.0)) == 0)
+    scored = placed.join(F.broadcast(usual), F.col("l").eqNullSafe(F.col("of"))).select(
         "key",
-        F.coalesce(F.try_divide(F.col("share"), F.col("share0")), F.lit(0.0)).alias("divergence"),
+        F.when(untold, 1.0).otherwise(F.coalesce(F.try_divide(F.col("share"), F.col("share0")), F.lit(0.0))).alias("divergence"),
         (F.col("sa") * F.col("x") + F.col("sb") - F.col("slope")).alias("steeper"),
         (F.col("residual") - F.col("ra") * F.col("x") - F.col("rb") - RESIDUAL_SLACK).alias("rougher"),
     )

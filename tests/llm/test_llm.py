@@ -205,3 +205,14 @@ def test_spam_reposted_by_a_third_of_all_pages(spark):
     docs += [(200 + i, copied, None if i % 3 == 0 else "en") for i in range(45)]
     pages = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in spam.spam_pages(pages).collect()} == {100, 101} | {200 + i for i in range(45)}
+
+
+def test_spam_without_a_language(spark):
+    rnd = random.Random(8)
+    docs = [(i, _prose(rnd, rnd.randrange(5, 30)), "en") for i in range(80)]
+    tags = " ".join("#" + rnd.choice(["billig", "kaufen", "gratis", "rabatt"]) for _ in range(70))
+    docs += [(100, tags, None), (101, tags + " #neu", "xx")]
+    pages = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in spam.spam_pages(pages).collect()} == {100, 101}
+    prose = spark.createDataFrame([(i, _prose(rnd, 10), None) for i in range(10)], "doc_id long, text string, lang string")
+    assert spam.spam_pages(prose).count() == 0
