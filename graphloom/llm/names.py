@@ -18,6 +18,8 @@ from graphloom.session import cut
 # Titles, particles, nicknames, words of institutions and their short forms.
 TITLES = frozenset("dr prof professor mr mrs ms sir dame rev phd md msc ba ma dsc jr sr ii iii".split())
 PARTICLES = frozenset("de der den van von la le du di da dos del ter ten zu af".split())
+#: Particles as they are shortened; with a point where they are single letters.
+SHORT_PARTICLES = {"v.d.": "van der", "vd": "van der", "vd.": "van der", "v.": "van", "d.": "de"}
 NICKNAMES = {
     nick: name
     for name, nicks in {
@@ -42,6 +44,7 @@ LINKING = frozenset("of for on and the in at".split())
 _LETTERS = {"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "a", "œ": "o", "þ": "th", "ð": "d", "ı": "i"}
 _UMLAUT = re.compile(r"(?<=[aou])e")
 _WORD = re.compile(r"[^\W\d_]+")
+_SHORT_PARTICLE = re.compile(r"(?<![\w.])(v\.\s*d\.|vd(?!\w)\.?|v\.|d\.)(?=\s*[^\W\d_]{2})", re.IGNORECASE)
 
 
 def plain(text: str) -> str:
@@ -78,10 +81,21 @@ def _particle(word: str) -> bool:
     return word in PARTICLES or (1 < len(word) < 5 and any(len(p) > 2 and edit_distance(word, p, 1) < 2 for p in PARTICLES))
 
 
+def _spelt(text: str) -> list[str]:
+    """The words of a family name without titles; particles spelt out, exchanged letters put back."""
+    long = _SHORT_PARTICLE.sub(lambda m: SHORT_PARTICLES["".join(m[1].lower().split())] + " ", text)
+    words = [w for w in (plain(w) for w in _WORD.findall(long)) if w not in TITLES]
+    back = lambda w: w[::-1] if len(w) == 2 and w not in PARTICLES and w[::-1] in PARTICLES else w
+    return [back(w) for w in words[:-1]] + words[-1:]
+
+
+def _without_particles(words: list[str]) -> list[str]:
+    return [w for i, w in enumerate(words) if not (_particle(w) and any(not _particle(x) for x in words[i + 1 :]))]
+
+
 def family_words(text: str) -> list[str]:
     """The words of a family name without titles and (mistyped) particles; at least one stays."""
-    words = [w for w in (plain(w) for w in _WORD.findall(text)) if w not in TITLES]
-    return [w for i, w in enumerate(words) if not (_particle(w) and any(not _particle(x) for x in words[i + 1 :]))]
+    return _without_particles(_spelt(text))
 
 
 def organisation(text: str) -> tuple[str, str]:
@@ -100,8 +114,9 @@ def organisation(text: str) -> tuple[str, str]:
     return "".join(head), " ".join(rest)
 
 
-#: How a name is read: as typed, with given and family name exchanged, by half of a double name.
-TYPED, EXCHANGED, HALF = 0, 1, 2
+#: How a name is read: as typed, with given and family name exchanged, by half of a double name,
+#: with its particles glued on.
+TYPED, EXCHANGED, HALF, GLUED = 0, 1, 2, 3
 
 
 def _ways(words: list[str], rest: str, how: int) -> list[tuple[str, str, int]]:
@@ -134,6 +149,9 @@ def readings(given: str | None, family: str | None, name: str | None) -> tuple[s
     halves = [w for w in words if len(w) > 3]
     if len(words) > 1 and len(halves) > 1:
         ways += [w for half in halves for w in _ways([half], " ".join(tokens), HALF)]
+    every = _spelt(family)
+    if len(every) > len(words):
+        ways += _ways(every, " ".join(tokens), GLUED)
     return "person", ways
 
 

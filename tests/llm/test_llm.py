@@ -216,3 +216,17 @@ def test_spam_without_a_language(spark):
     assert {r["doc_id"] for r in spam.spam_pages(pages).collect()} == {100, 101}
     prose = spark.createDataFrame([(i, _prose(rnd, 10), None) for i in range(10)], "doc_id long, text string, lang string")
     assert spam.spam_pages(prose).count() == 0
+
+
+def test_particles_shortened_exchanged_or_glued(spark):
+    rows = [
+        (1, "Emre", "v.d. Olmomidski", "Inst A"), (2, "Emre A.", "van der Olmomidski", "Inst A"), (3, "Emre", "Vanderolmomidski", "Inst A"),
+        (4, "Gustav", "la Feromabwald", "Inst B"), (5, "Gustav", "al Feromabwald", "Inst B"),
+        (6, "Eitan", "la Kalegüller, PhD", "Inst C"), (7, "Eitan", "Lakalegüller", "Inst C"),
+        (8, "Greta", "v. Lanekonoff", "Inst D"), (9, "Greta", "von Lanekonoff", "Inst D"), (10, "Greta", "Lanekonoff", "Inst E"),
+        (11, "Anna", "Dvorak", "Inst F"), (12, "Anna", "Vorakis", "Inst F"),
+    ]
+    authors = spark.createDataFrame([(n, g, f, f"{g} {f}", a) for n, g, f, a in rows], "author_no long, given string, family string, name string, affiliation string")
+    found = {tuple(r) for r in names.same_entity_pairs(names.entities(authors)).collect()}
+    assert found == {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7), (8, 9)}
+    assert [names.family_words(t) for t in ("V. d. Berg", "vd Berg", "d. Berg", "Berg", "Ed", "Vdovin", "V.")] == [["berg"]] * 4 + [["ed"], ["vdovin"], ["v"]]
