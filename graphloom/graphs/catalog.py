@@ -28,13 +28,13 @@ class GraphCatalog:
         return self.put(name, graph or PropertyGraph.empty(self.spark, directed))
 
     def put(self, name: str, graph: PropertyGraph) -> PropertyGraph:
-        """Register or replace a graph and its views ``<name>__v`` and ``<name>__e``."""
+        """Register or replace a graph and its views ``<name>__v`` and ``<name>__e`` (in backticks where
+        the name holds a hyphen)."""
         name = graph_name(name)
         self._release(name)
         self._graphs[name] = graph
-        view = name.replace("-", "_")
-        graph.vertices.createOrReplaceTempView(f"{view}__v")
-        graph.edges.createOrReplaceTempView(f"{view}__e")
+        graph.vertices.createOrReplaceTempView(f"`{name}__v`")
+        graph.edges.createOrReplaceTempView(f"`{name}__e`")
         return graph
 
     def get(self, name: str) -> PropertyGraph:
@@ -67,9 +67,8 @@ class GraphCatalog:
         self.get(name)
         self._release(name)
         del self._graphs[name]
-        view = name.replace("-", "_")
-        self.spark.catalog.dropTempView(f"{view}__v")
-        self.spark.catalog.dropTempView(f"{view}__e")
+        self.spark.catalog.dropTempView(f"{name}__v")
+        self.spark.catalog.dropTempView(f"{name}__e")
 
     def names(self) -> list[str]:
         """Names in order."""

@@ -21,7 +21,7 @@ def lead_time(changes: DataFrame, created: str = "created_at", merged: str = "me
     """One row ``hours``: mean time from creation to merge over the ``last`` merged changes (all if
     None); 0 without any."""
     done = changes.where(F.col(merged).isNotNull() & F.col(created).isNotNull())
-    recent = done if last is None else done.orderBy(F.desc(merged)).limit(last)
+    recent = done if last is None else done.orderBy(F.desc(merged), F.desc(created)).limit(last)
     return recent.agg(F.coalesce(F.avg(seconds(F.col(created), F.col(merged))) / 3600, F.lit(0.0)).alias("hours"))
 
 
@@ -31,8 +31,9 @@ def seconds(start: Column, end: Column) -> Column:
 
 
 def change_failure_rate(runs: DataFrame, conclusion: str = "conclusion", at: str = "created_at", last: int | None = 20) -> DataFrame:
-    """One row ``percent`` of the ``last`` runs (all if None) that failed or were cancelled."""
-    recent = runs if last is None else runs.orderBy(F.desc(at)).limit(last)
+    """One row ``percent`` of the ``last`` runs (all if None) that failed or were cancelled; of runs at
+    the same time the first by conclusion count as last."""
+    recent = runs if last is None else runs.orderBy(F.desc(at), F.asc(conclusion)).limit(last)
     return recent.agg(F.coalesce(100.0 * F.try_divide(F.count_if(F.col(conclusion).isin(*FAILED)), F.count(F.lit(1))), F.lit(0.0)).alias("percent"))
 
 
@@ -99,11 +100,28 @@ def report(frequency: DataFrame, lead: DataFrame, failure: DataFrame, restore: D
 
 def workflow_status(runs: DataFrame, conclusion: str = "conclusion", at: str = "created_at", last: int | None = 10) -> DataFrame:
     """One row: ``runs``, ``failures`` and ``failure_rate`` as text such as 12.5%."""
-    recent = runs if last is None else runs.orderBy(F.desc(at)).limit(last)
+    recent = runs if last is None else runs.orderBy(F.desc(at), F.asc(conclusion)).limit(last)
     rate = F.coalesce(100.0 * F.try_divide(F.count_if(F.col(conclusion) == "failure"), F.count(F.lit(1))), F.lit(0.0))
     return recent.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col(conclusion) == "failure").alias("failures"), F.format_string("%.1f%%", rate).alias("failure_rate"))
 
 
+def recent_runs(runs: DataFrame, run_id: str, at: str = "created_at", show: int = 5) -> DataFrame:
+    """The ``show`` latest runs, latest first; ties go to the smaller ``run_id``."""
+    return runs.orderBy(F.desc(at), F.asc(run_id)).limit(show)
+
+
+def run_status(jobs: DataFrame, run: object, run_id: str = "run_id", name: str = "name", conclusion: str = "conclusion", created: str = "created_at", updated: str = "updated_at") -> DataFrame:
+    """One row about one run from its ``jobs``: ``total_jobs``, the names of ``failed_jobs`` in order,
+    ``conclusion`` (failure, cancelled or success, the worst of its jobs; null if none has ended),
+    ``created_at`` and ``updated_at``. No jobs give zero and nulls."""
+    own = jobs.where(F.col(run_id) == F.lit(run))
+    failed = F.col(conclusion) == "failure"
+    worst = F.when(F.count_if(failed) > 0, "failure").when(F.count_if(F.col(conclusion) == "cancelled") > 0, "cancelled").when(F.count(conclusion) > 0, "success")
+    return own.agg(
+        F.count(F.lit(1)).alias("total_jobs"), F.sort_array(F.collect_list(F.when(failed, F.col(name)))).alias("failed_jobs"), worst.alias("conclusion"), F.min(created).alias("created_at"), F.max(updated).alias("updated_at")
+    )
+
+
 def failure_kinds(jobs: DataFrame, name: str = "name", conclusion: str = "conclusion") -> DataFrame:
     """(``kind``, ``n``) of failed jobs, told by their names."""
     low = F.lower(F.col(name))

@@ -84,10 +84,20 @@ def _is_row(value: object, numbers: bool) -> bool:
     return value is not None and value != {} and value != []
 
 
+def _without(value: object, path: tuple[str, ...]) -> object:
+    """``value`` without the field at the end of ``path``; what stands beside it stays, and an object
+    that held nothing else goes."""
+    if not isinstance(value, dict) or path[0] not in value:
+        return value
+    rest = {k: v for k, v in value.items() if k != path[0]}
+    if len(path) > 1 and (inner := _without(value[path[0]], path[1:])) != {}:
+        return value | {path[0]: inner}
+    return rest
+
+
 def _own(value: object, children: tuple[Node, ...]) -> str:
-    if isinstance(value, dict) and children:
-        taken = {child.path[0] for child in children}
-        value = {k: v for k, v in value.items() if k not in taken}
+    for child in children:
+        value = _without(value, child.path)
     return json.dumps(value, ensure_ascii=False)
 
 

@@ -7,18 +7,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.errors import ValidationError
+
+#: Scratch tables of this process that haven't been removed.
+_SCRATCH: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The cluster names it; a folder of our own is set only where the session names none
-    (single-machine tests).
+    The cluster names it; a folder of our own is set only where the session names none and runs on
+    one machine (tests). Elsewhere a missing setting is an error, as executors share no local folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValidationError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -45,7 +52,19 @@ def cut_step(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that one query writes and reads again."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables written so far, to be called once their results are stored or read;
+    returns their number."""
+    jvm, paths = spark.sparkContext._jvm, list(_SCRATCH)
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _SCRATCH.remove(path)
+    return len(paths)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -15,23 +15,34 @@ from graphloom.operators.kernels import per_component
 HEADERS = (("source", "from"), ("target", "to"))
 
 
-def import_csv(lines: DataFrame, directed: bool = False, column: str = "value") -> PropertyGraph:
+def import_csv(lines: DataFrame, directed: bool = False, column: str = "value", headers: bool = True) -> PropertyGraph:
     """Graph of CSV lines: the first two columns, trimmed, are the ends of an edge.
 
-    Lines with fewer than two columns are dropped, others ignored beyond the second; lines that read
-    source/from and target/to are headers. Blank ends are dropped.
+    Lines with fewer than two columns are dropped, others ignored beyond the second. ``headers``
+    says whether lines that read source/from and target/to are headers, as where each of many files
+    has one. Blank ends are dropped.
     """
     cells = F.from_csv(F.col(column), "src string, dst string", {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"})
     rows = lines.where(F.col(column).isNotNull()).select(F.explode(F.array(cells)).alias("c")).select("c.src", "c.dst").dropna()
-    header = F.lower("src").isin(*HEADERS[0]) & F.lower("dst").isin(*HEADERS[1])
+    header = F.lower("src").isin(*HEADERS[0]) & F.lower("dst").isin(*HEADERS[1]) & F.lit(headers)
     return PropertyGraph.of(rows.where(~header & (F.col("src") != "") & (F.col("dst") != "")), directed)
 
 
+def _is_header(line: str) -> bool:
+    cells = [c.strip().lower() for c in line.split(",")]
+    return len(cells) > 1 and cells[0] in HEADERS[0] and cells[1] in HEADERS[1]
+
+
 def import_csv_text(spark: object, text: str, directed: bool = False) -> PropertyGraph:
-    """``import_csv`` of one string, of limited length."""
+    """``import_csv`` of one string, of limited length and number of lines; only its first line can be
+    a header, so an edge from ``source`` to ``target`` further down is kept."""
     if len(text) > LIMITS["csv_chars"]:
         raise ResourceLimitError("the CSV text is too long")
-    return import_csv(spark.createDataFrame([(x,) for x in text.splitlines() if x.strip()], "value string"), directed)
+    lines = [x for x in text.splitlines() if x.strip()]
+    lines = lines[1:] if lines and _is_header(lines[0]) else lines
+    if sum("," in x for x in lines) > LIMITS["csv_edges"]:
+        raise ResourceLimitError(f"more than {LIMITS['csv_edges']} edges in one text")
+    return import_csv(spark.createDataFrame([(x,) for x in lines], "value string"), directed, headers=False)
 
 
 def node_link_rows(graph: PropertyGraph) -> DataFrame:

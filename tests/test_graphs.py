@@ -188,6 +188,26 @@ def test_editing_and_catalog(spark):
         e.run("no_such_tool")
 
 
+def test_errors_have_the_codes_of_a_remote_call():
+    from graphloom import errors
+
+    want = {"GraphNotFoundError": -32001, "NodeNotFoundError": -32002, "EdgeNotFoundError": -32003, "GraphAlreadyExistsError": -32004, "InvalidGraphIdError": -32005, "InvalidNodeIdError": -32006, "InvalidEdgeError": -32007}
+    want |= {"GraphOperationError": -32008, "AlgorithmError": -32009, "ValidationError": -32010, "ResourceLimitError": -32011, "NotInitializedError": -32012}
+    want |= {"ParseError": -32700, "InvalidRequestError": -32600, "UnknownToolError": -32601, "InvalidParamsError": -32602, "GraphError": -32603}
+    assert {n: getattr(errors, n).code for n in want} == want and sorted(want.values()) == sorted(errors.CODES.values())
+    assert errors.GraphNotFoundError("x").as_dict() == {"code": -32001, "message": "x"}
+
+
+def test_views_of_similar_names_stay_apart(spark):
+    e = Engine(spark)
+    for name, nodes in (("a-b", [1]), ("a_b", [1, 2])):
+        e.run("create_graph", graph=name)
+        e.run("add_nodes", graph=name, nodes=nodes)
+    assert spark.sql("SELECT count(*) FROM `a-b__v`").first()[0] == 1 and spark.sql("SELECT count(*) FROM a_b__v").first()[0] == 2
+    e.run("delete_graph", graph="a-b")
+    assert spark.sql("SELECT count(*) FROM a_b__v").first()[0] == 2
+
+
 def test_empty_and_single(spark):
     empty = PropertyGraph.empty(spark)
     assert structure.components(empty).count() == 0
@@ -202,6 +222,8 @@ def test_empty_and_single(spark):
 def test_csv_and_json(spark):
     g = graph_io.import_csv_text(spark, "source,target\n A , B ,x\nB,C\n\nlonely\nA,B\n", True)
     assert g.info().first()[:] == (3, 2, True)
+    kept = graph_io.import_csv_text(spark, "a,b\nsource,target\nfrom,to", True)
+    assert kept.info().first()[:] == (6, 3, True)
     text = graph_io.export_json(g)
     assert '"source":"A","target":"B"' in text and text.startswith('{"directed": true')
     for kind in ("circular", "spring", "kamada_kawai"):

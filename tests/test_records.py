@@ -109,3 +109,30 @@ def test_streaming_counts_match_the_batch(spark, tmp_path):
     q.awaitTermination()
     batch = deliveries.tumbling_counts(df.withColumn("at", F.col("ts").cast("timestamp")))
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_what_stands_beside_a_child_stays(spark):
+    work = {"DOI": "d", "published-print": {"date-parts": [[2019]], "date-time": "t"}, "author": [{"given": "A", "affiliation": []}]}
+    tables = FlatTables(spark.createDataFrame([(1, json.dumps(work)), (2, json.dumps({"published-print": {"date-parts": [[1]]}}))], "rid long, js string"), WORK, "rid", "js")
+    kept = {r["record_id"]: json.loads(r["payload"]) for r in tables.places("work").collect()}
+    assert kept == {1: {"DOI": "d", "published-print": {"date-time": "t"}}, 2: {}}
+
+
+def test_latest_runs_do_not_depend_on_the_order_of_ties(spark):
+    rows = [(i, "2024-01-01", "failure" if i % 2 else "success") for i in range(6)] + [(6, "2023-01-01", "failure")]
+    runs = spark.createDataFrame(rows, "run_id long, created_at string, conclusion string").withColumn("updated_at", F.col("created_at")).withColumn("name", F.concat(F.lit("job "), "run_id"))
+    for order in (runs, runs.orderBy(F.desc("run_id"))):
+        assert delivery.change_failure_rate(order, last=3).first()[0] == 100.0
+        assert [r["run_id"] for r in delivery.recent_runs(order, "run_id", show=3).collect()] == [0, 1, 2]
+    assert delivery.run_status(runs, 1).first()[:3] == (1, ["job 1"], "failure")
+    assert delivery.run_status(runs, 99).first()[:3] == (0, [], None)
+
+
+def test_scratch_tables_are_removed(spark):
+    from graphloom.session import clear_scratch
+
+    clear_scratch(spark)
+    tables = FlatTables(spark.createDataFrame([(1, "{}")], "rid long, js string"), WORK, "rid", "js")
+    assert tables.places("work").count() == 1 and clear_scratch(spark) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(tables.path).count()
