@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.metric import radius_pairs
 from graphloom.operators.components import component_labels
 from graphloom.operators.skew import skew_join
 from graphloom.session import cut
@@ -20,17 +21,19 @@ TITLES = frozenset("dr prof professor mr mrs ms sir dame rev phd md msc ba ma ds
 PARTICLES = frozenset("de der den van von la le du di da dos del ter ten zu af".split())
 #: Particles as they are shortened; with a point where they are single letters.
 SHORT_PARTICLES = {"v.d.": "van der", "vd": "van der", "vd.": "van der", "v.": "van", "d.": "de"}
+#: Common short forms of given names, for tables too small to learn from (``learn_nicknames``).
 NICKNAMES = {
     nick: name
     for name, nicks in {
-        "alejandro": "ale", "aleksandra": "sasha", "alexander": "alex sascha", "andrew": "andy drew", "anthony": "tony", "antonella": "nella", "benjamin": "ben benny",
-        "christopher": "chris kit", "daniel": "dan danny", "david": "dave", "deborah": "debbie deb", "dmitri": "dima", "edward": "ted eddie ed", "ekaterina": "katya",
-        "eleanor": "nell ellie", "elizabeth": "liz beth lizzie betty", "florence": "flo", "francisco": "paco pancho", "frederick": "fred freddy", "friedrich": "fritz",
-        "gabriel": "gabe", "giuseppe": "beppe", "gregory": "greg", "guadalupe": "lupe", "isabella": "bella", "james": "jim jimmy", "jennifer": "jenny jen",
-        "johannes": "hannes", "jonathan": "jon", "joseph": "joe joey", "josephine": "josie jo", "katherine": "kate kathy katie", "leonard": "len lenny", "margaret": "peggy maggie meg",
-        "matthew": "matt", "maximilian": "max", "michael": "mike mick", "mikhail": "misha", "nicholas": "nick", "ole": "ola", "patricia": "patty pat", "philip": "phil",
-        "raymond": "ray", "rebecca": "becky", "richard": "rick dick rich", "robert": "bob rob bobby", "samuel": "sam", "sebastian": "seb", "stephen": "steve", "susan": "sue susie",
-        "theodore": "theo", "thomas": "tom tommy", "valentina": "tina", "veronica": "ronnie", "victoria": "vicky", "walter": "walt", "william": "bill will billy", "yevgenia": "zhenya",
+        "abigail": "abby", "albert": "al bert", "alejandro": "ale", "aleksandra": "sasha", "alexander": "alex sascha", "alfred": "alf", "andrew": "andy drew", "anthony": "tony", "antonella": "nella", "arthur": "art",
+        "barbara": "barb", "benjamin": "ben benny", "bernard": "bernie", "catherine": "cathy", "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny", "david": "dave",
+        "deborah": "debbie deb", "dmitri": "dima", "donald": "don", "dorothy": "dot", "douglas": "doug", "edward": "ted eddie ed", "ekaterina": "katya", "eleanor": "nell ellie", "elizabeth": "liz beth lizzie betty",
+        "emanuel": "manny", "eugene": "gene", "florence": "flo", "francisco": "paco pancho", "frederick": "fred freddy", "friedrich": "fritz", "gabriel": "gabe", "gerald": "jerry", "giuseppe": "beppe", "gregory": "greg",
+        "guadalupe": "lupe", "harold": "harry", "heinrich": "heinz", "henry": "hank", "isabella": "bella", "jacob": "jake", "james": "jim jimmy", "jennifer": "jenny jen", "johannes": "hannes", "jonathan": "jon",
+        "joseph": "joe joey", "josephine": "josie jo", "judith": "judy", "katherine": "kate kathy katie", "kenneth": "ken", "lawrence": "larry", "leonard": "len lenny", "louis": "lou", "margaret": "peggy maggie meg",
+        "matthew": "matt", "maximilian": "max", "michael": "mike mick", "mikhail": "misha", "nathaniel": "nate", "nicholas": "nick", "patricia": "patty pat", "peter": "pete", "philip": "phil", "raymond": "ray",
+        "rebecca": "becky", "richard": "rick dick rich", "robert": "bob rob bobby", "ronald": "ron", "samuel": "sam", "sebastian": "seb", "stephen": "steve", "susan": "sue susie", "theodore": "theo", "thomas": "tom tommy",
+        "timothy": "tim", "valentina": "tina", "veronica": "ronnie", "victor": "vic", "victoria": "vicky", "vincent": "vince", "vladimir": "vova", "walter": "walt", "william": "bill will billy", "yevgenia": "zhenya",
     }.items()
     for nick in nicks.split()
 }
@@ -41,6 +44,12 @@ SHORT = {
 ORGANISED = frozenset("institute consortium group collaboration laboratory university network survey working society council academy center centre foundation department polytechnic school project team committee".split())
 LINKING = frozenset("of for on and the in at".split())
 
+#: A pair of first names is learnt as name and nickname from so many families, which must be this
+#: share of all families of the rarer one.
+NICK_SUPPORT, NICK_SHARE = 3, 0.25
+#: Main parts of so many letters may be two edits apart, where institution and full names agree.
+LONG = 8
+
 _LETTERS = {"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "a", "œ": "o", "þ": "th", "ð": "d", "ı": "i"}
 _UMLAUT = re.compile(r"(?<=[aou])e")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -176,25 +185,25 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
-def _same_given(a: str, b: str) -> bool:
-    a, b = NICKNAMES.get(a, a), NICKNAMES.get(b, b)
+def _same_given(a: str, b: str, nicknames: dict[str, str]) -> bool:
+    a, b = nicknames.get(a, a), nicknames.get(b, b)
     return a == b or edit_distance(a, b, 1) <= 1 or edit_distance(without_umlauts(a), without_umlauts(b), 1) <= 1
 
 
-def _initials(token: str) -> set[str]:
-    return {token[0], NICKNAMES.get(token, token)[0]}
+def _initials(token: str, nicknames: dict[str, str]) -> set[str]:
+    return {token[0], nicknames.get(token, token)[0]}
 
 
-def given_match(a: list[str], b: list[str]) -> int:
+def given_match(a: list[str], b: list[str], nicknames: dict[str, str]) -> int:
     """2 if given names agree by full first names, 1 if only by an initial, else 0."""
     if not a or not b:
         return 0
     for x, y in zip(a[1:], b[1:], strict=False):
-        if not (_initials(x) & _initials(y)) or (len(x) > 1 and len(y) > 1 and not _same_given(x, y)):
+        if not (_initials(x, nicknames) & _initials(y, nicknames)) or (len(x) > 1 and len(y) > 1 and not _same_given(x, y, nicknames)):
             return 0
     if len(a[0]) > 1 and len(b[0]) > 1:
-        return 2 if _same_given(a[0], b[0]) else 0
-    return int(bool(_initials(a[0]) & _initials(b[0])))
+        return 2 if _same_given(a[0], b[0], nicknames) else 0
+    return int(bool(_initials(a[0], nicknames) & _initials(b[0], nicknames)))
 
 
 def _short_form(words: str) -> str:
@@ -210,29 +219,19 @@ def organisations_match(a: str, b: str) -> int:
     return 2 * (a == b or (len(ia) > 1 and ia == ib) or joined_a == ib or joined_b == ia)
 
 
-def match(kind: str, main_a: str, rest_a: str, main_b: str, rest_b: str) -> int:
-    """Grade of a pair: 0 not the same, 1 the same by an initial, 2 the same by full names."""
-    if edit_distance(main_a, main_b, 1) > int(min(len(main_a), len(main_b)) > 3):
-        return 0
-    if kind == "organisation":
-        return organisations_match(rest_a, rest_b)
-    return given_match(rest_a.split(), rest_b.split())
-
-
-@F.pandas_udf(T.IntegerType())
-def _grade(kind: pd.Series, main_a: pd.Series, rest_a: pd.Series, main_b: pd.Series, rest_b: pd.Series) -> pd.Series:
-    return pd.Series([match(*r) for r in zip(kind, main_a, rest_a, main_b, rest_b, strict=True)], dtype="int32")
+def _grader(nicknames: dict[str, str]) -> Callable:
+    """Grade of two rests whose main parts are near: 0 not the same, 1 the same by an initial, 2 the
+    same by full names."""
 
+    @F.pandas_udf(T.IntegerType())
+    def grade(kind: pd.Series, rest_a: pd.Series, rest_b: pd.Series) -> pd.Series:
+        out = [organisations_match(a, b) if k == "organisation" else given_match(a.split(), b.split(), nicknames) for k, a, b in zip(kind, rest_a, rest_b, strict=True)]
+        return pd.Series(out, dtype="int32")
 
-_FORM = "author_no bigint, form string, kind string, aff string, full boolean, ways array<struct<main:string,rest:string,how:int,seconds:array<string>>>"
+    return grade
 
 
-def _seconds(kind: str, rest: str) -> list[str]:
-    """Letters under one of which any matching rest is found too: see ``cells``."""
-    if kind == "organisation" or not rest:
-        return [""]
-    first = rest.split()[0]
-    return sorted(_initials(first) | set(first[1:2]))
+_FORM = "author_no bigint, form string, kind string, aff string, full boolean, ways array<struct<main:string,rest:string,how:int>>"
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,34 +246,98 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             where = "" if kind == "organisation" else place(none(aff))
             full = kind == "organisation" or any(len(w[1].split(" ")[0]) > 1 for w in ways[:1])
             form = "\x1f".join([kind, "?" if where is None else "=" + where, *(str(p) for w in ways for p in w)])
-            out.append((no, form, kind, where, full, [{"main": m, "rest": r, "how": how, "seconds": _seconds(kind, r)} for m, r, how in ways]))
+            out.append((no, form, kind, where, full, [{"main": m, "rest": r, "how": how} for m, r, how in ways]))
         yield pd.DataFrame(out, columns=["author_no", "form", "kind", "aff", "full", "ways"])
 
 
-def cells(forms: DataFrame) -> DataFrame:
-    """Each form at every pivot within reach, for every way of reading it.
+def learn_nicknames(ways: DataFrame, known: dict[str, str]) -> dict[str, str]:
+    """``known`` and the short forms that the index itself shows.
 
-    Pivots are the points of the edit space itself: the name and the names one deletion away. Two
-    names at distance one (a letter more, less, other or exchanged) always have such a pivot in
-    common: by the triangle inequality the ball of radius one around a name meets that of another
-    only if their distance is at most two, and the common deletion lies in both. So each name is
-    assigned to, and replicated at, its own pivots only, and the join inside a cell is exact. A cell
-    is cut further by the first or second letter of the given name, of which two matching given names
-    always share one, whatever single edit lies between them.
+    Two first names that stand with the same family name at the same institution in at least
+    NICK_SUPPORT families, and in NICK_SHARE of all families of the rarer one, are forms of one name,
+    for two people chosen by chance rarely meet so; the rarer one is the short form. Counted over all
+    rows; the result has at most one entry for each given name with so much support.
     """
-    way = forms.select("id", "kind", "aff", "full", F.explode("ways").alias("way")).select("id", "kind", "aff", "full", F.col("way.how").alias("reading"), F.col("way.main").alias("main"), F.col("way.rest").alias("rest"), F.explode("way.seconds").alias("letter"))
-    shorter = F.transform(F.sequence(F.lit(1), F.length("main")), lambda i: F.concat(F.left("main", i - 1), F.substr("main", i + 1)))
-    return way.withColumn("pivot", F.explode(F.array_distinct(F.concat(F.array("main"), shorter))))
+    first = F.substring_index("rest", " ", 1)
+    held = ways.where((F.col("kind") == "person") & (F.col("reading") == TYPED) & F.col("aff").isNotNull()).select("aff", "main", first.alias("first")).where(F.length("first") > 1).distinct()
+    one = held.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    other = held.withColumnRenamed("first", "other")
+    met = held.join(other, ["aff", "main"]).where("first < other").groupBy("first", "other").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= NICK_SUPPORT)
+    met = met.where(F.levenshtein("first", "other") > 2).join(one, "first").join(one.select(F.col("first").alias("other"), F.col("n").alias("m")), "other")
+    out, learnt = dict(known), set()
+    for r in met.where(F.col("both") >= NICK_SHARE * F.least("n", "m")).orderBy(F.desc("both"), "first", "other").collect():
+        name, nick = (r["first"], r["other"]) if (r["n"], r["other"]) > (r["m"], r["first"]) else (r["other"], r["first"])
+        name = out.get(name, name)
+        if nick not in learnt and name != out.get(nick, nick) and name != nick:
+            learnt.add(nick)
+            out = {k: name if v == nick else v for k, v in out.items()} | {nick: name}
+    return out
+
+
+def readings_of(forms: DataFrame, nicknames: dict[str, str]) -> DataFrame:
+    """A row for every way to read every form and every letter under which a matching rest is found:
+    ``id``, ``kind``, ``aff``, ``reading``, ``main``, ``rest``, ``first`` (name), ``letter``.
+
+    Two given names that match share the first letter, that of the name a nickname stands for, or the
+    second letter, whatever single edit lies between them. A person without a given name matches
+    nobody and has no row.
+    """
+    way = forms.select("id", "kind", "aff", F.explode("ways").alias("way")).select("id", "kind", "aff", F.col("way.how").alias("reading"), F.col("way.main").alias("main"), F.col("way.rest").alias("rest"))
+    person = F.col("kind") == "person"
+    named = way.where(~person | (F.col("rest") != "")).withColumn("first", F.when(person, F.substring_index("rest", " ", 1)).otherwise(""))
+    letters = F.array_distinct(F.filter(F.array(F.left("first", F.lit(1)), F.left(_spelt_out("first", nicknames), F.lit(1)), F.substr("first", F.lit(2), F.lit(1))), lambda c: c != ""))
+    return named.withColumn("letter", F.explode(F.when(person, letters).otherwise(F.array(F.lit("")))))
+
+
+def _spelt_out(c: str, nicknames: dict[str, str]) -> Column:
+    pairs = [F.lit(x) for kv in sorted(nicknames.items()) for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(c)), F.col(c)) if pairs else F.col(c)
+
 
+def _near_firsts(ways: DataFrame, nicknames: dict[str, str]) -> DataFrame:
+    """(``letter``, ``first_a``, ``first_b``): full first names that may match, a superset of those
+    that do; the empty one of organisations matches itself."""
+    firsts = cut(ways.select("letter", "first").distinct())
+    name = _spelt_out("first", nicknames)
+    points = cut(firsts.where((F.length("first") != 1)).select("letter", "first", F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, "(?<=[aou])e", "")))).alias("name")))
+    near = radius_pairs(points.select("letter", "name").distinct(), ["letter"], 1)
+    side = lambda x: points.select("letter", F.col("first").alias(f"first_{x}"), F.col("name").alias(x))
+    return cut(near.join(side("a"), ["letter", "a"]).join(side("b"), ["letter", "b"]).select("letter", "first_a", "first_b").distinct())
 
-def _graded(a: DataFrame, b: DataFrame, keys: list[str], ordered: bool) -> DataFrame:
-    """Graded pairs (``a``, ``b``, ``grade`` > 0) that share a cell; one side reads the name as typed."""
-    left = a.select(*keys, *(F.col(c).alias(f"{c}_a") for c in ("id", "main", "rest", "reading")))
-    right = b.select(*keys, *(F.col(c).alias(f"{c}_b") for c in ("id", "main", "rest", "reading")))
+
+def _near_mains(points: DataFrame, block: list[str], queries: DataFrame | None = None) -> DataFrame:
+    """Main parts within one edit, or equal ones if a part has up to three letters."""
+    return radius_pairs(points, block, 1, queries).where((F.col("d") == 0) | (F.least(F.length("a"), F.length("b")) > 3))
+
+
+def _two_apart(at: DataFrame, nicknames: dict[str, str]) -> DataFrame:
+    """Pairs of people of one institution and first name whose family names of LONG letters are two
+    edits apart, graded if all their given names agree."""
+    block = ["aff", "name_of"]
+    long = at.where((F.col("kind") == "person") & (F.length("main") >= LONG) & (F.length("first") > 1)).withColumn("name_of", _spelt_out("first", nicknames)).drop("letter").distinct()
+    near = radius_pairs(long.select(*block, F.col("main").alias("name")).distinct(), block, 2).where("d = 2 AND a < b")
+    side = lambda x: long.select(*block, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "rest", "reading")), F.col("main").alias(x))
+    met = side("a").join(near, [*block, "a"]).join(side("b"), [*block, "b"]).where("id_a <> id_b AND (reading_a = 0 OR reading_b = 0)")
+    graded = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), _grader(nicknames)(F.lit("person"), "rest_a", "rest_b").alias("grade"))
+    return graded.where("grade = 2").distinct()
+
+
+def _graded(a: DataFrame, b: DataFrame, near: DataFrame, firsts: DataFrame, block: list[str], ordered: bool, nicknames: dict[str, str]) -> DataFrame:
+    """Graded pairs (``a``, ``b``, ``grade`` > 0) of forms whose main parts and first names are near;
+    one side reads the name as typed.
+
+    Full first names meet by the pairs of near ones, so forms that share a family name only don't;
+    an initial meets every form with its letter, of which it matches most.
+    """
+    side = lambda df, x: df.select(*block, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "main", "rest", "first", "reading")))
     apart = F.col("id_a") < F.col("id_b") if ordered else F.col("id_a") != F.col("id_b")
-    met = left.join(right, keys).where(apart & ((F.col("reading_a") == 0) | (F.col("reading_b") == 0)))
-    met = met.select("kind", "id_a", "id_b", "main_a", "rest_a", "main_b", "rest_b").distinct()
-    graded = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), _grade("kind", "main_a", "rest_a", "main_b", "rest_b").alias("grade"))
+    mains = near.select(*block, F.col("a").alias("main_a"), F.col("b").alias("main_b"))
+    left, right = side(a, "a").join(mains, [*block, "main_a"]), side(b, "b")
+    short = lambda x: F.length(f"first_{x}") == 1
+    full = left.where(~short("a")).join(firsts, ["letter", "first_a"]).join(right.where(~short("b")), [*block, "main_b", "first_b"])
+    initial = left.where(short("a")).join(right, [*block, "main_b"]).unionByName(left.where(~short("a")).join(right.where(short("b")), [*block, "main_b"]))
+    met = full.unionByName(initial).where(apart & ((F.col("reading_a") == TYPED) | (F.col("reading_b") == TYPED))).select("kind", "id_a", "id_b", "rest_a", "rest_b").distinct()
+    graded = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), _grader(nicknames)("kind", "rest_a", "rest_b").alias("grade"))
     return graded.where("grade > 0").groupBy("a", "b").agg(F.max("grade").alias("grade"))
 
 
@@ -294,15 +357,18 @@ def _both(ties: DataFrame) -> DataFrame:
     return ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"), "grade"))
 
 
-def entities(authors: DataFrame) -> DataFrame:
+def entities(authors: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
     """(``author_no``, ``entity``): rows of the index that mean the same person or organisation.
 
     Rows are first reduced to distinct forms (kind, institution, name without titles, accents and
-    case), so copies cost nothing. Forms meet in the cells of the metric space and are graded with
-    the edit distance. Full names at one institution are grouped transitively; a form with only an
-    initial joins the group it matches if there is exactly one, so it never ties two people
-    together; the same then holds for forms without an institution against all institutions. What
-    stays loose is grouped among itself. Namesakes at different institutions are never linked.
+    case), so copies cost nothing. Main parts (family names, own names of organisations) and first
+    names meet in the cells of pivots (``radius_pairs``), by exact radius joins over distinct names,
+    and forms whose parts are near are graded. Full names at one institution are grouped
+    transitively; a form with only an initial joins the group it matches if there is exactly one, so
+    it never ties two people together; the same then holds for forms without an institution against
+    all institutions. What stays loose is grouped among itself. Namesakes at different institutions
+    are never linked. ``nicknames`` (short form to name, NICKNAMES if None) are extended by those the
+    index shows (``learn_nicknames``).
 
     Null or blank names give no row; a null number gives no row; repeated rows fall together; extra
     columns are ignored; an empty table gives no rows.
@@ -310,9 +376,15 @@ def entities(authors: DataFrame) -> DataFrame:
     rows = authors.where(F.col("author_no").isNotNull()).select(F.col("author_no").cast("bigint").alias("author_no"), "given", "family", "name", "affiliation").mapInPandas(_reader, _FORM)
     read = cut(rows)
     forms = cut(read.groupBy("form").agg(F.min("author_no").alias("id"), F.first("kind").alias("kind"), F.first("aff").alias("aff"), F.first("full").alias("full"), F.first("ways").alias("ways")))
+    plain = readings_of(forms, {}).drop("letter").distinct()
+    nick = learn_nicknames(plain, NICKNAMES if nicknames is None else nicknames)
+    ways = cut(readings_of(forms, nick))
+    firsts = _near_firsts(ways, nick)
     placed, unplaced = forms.where(F.col("aff").isNotNull()), forms.where(F.col("aff").isNull())
-    at, nowhere = cells(placed), cells(unplaced)
-    ties = cut(_graded(at, at, ["kind", "aff", "pivot", "letter"], True))
+    at, nowhere = ways.where(F.col("aff").isNotNull()), ways.where(F.col("aff").isNull())
+    here, anywhere = ["kind", "aff", "letter"], ["kind", "letter"]
+    near_here = _near_mains(at.select(*here, F.col("main").alias("name")).distinct(), here)
+    ties = cut(_graded(at, at, near_here, firsts, here, True, nick).unionByName(_two_apart(at, nick)))
     full = placed.where("full").select("id")
     by_full = cut(_grouped(full, ties.where("grade = 2")))
 
@@ -322,11 +394,13 @@ def entities(authors: DataFrame) -> DataFrame:
     loose_ties = ties.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
     settled = cut(by_full.unionByName(joined).unionByName(_grouped(left, loose_ties)))
 
-    across = cut(_graded(nowhere, at, ["kind", "pivot", "letter"], False))
+    main = F.col("main").alias("name")
+    near = cut(_near_mains(ways.select(*anywhere, main).distinct(), anywhere, nowhere.select(*anywhere, main).distinct()))
+    across = cut(_graded(nowhere, at, near, firsts, anywhere, False, nick))
     found = cut(_attach(unplaced, across, settled))
-    rest = unplaced.join(found, "id", "left_anti")
-    among = cells(rest)
-    labels = settled.unionByName(found).unionByName(_grouped(rest, _graded(among, among, ["kind", "pivot", "letter"], True).where("grade = 2")))
+    rest = cut(unplaced.select("id").join(found, "id", "left_anti"))
+    among = nowhere.join(rest, "id", "left_semi")
+    labels = settled.unionByName(found).unionByName(_grouped(rest, _graded(among, among, near, firsts, anywhere, True, nick).where("grade = 2")))
     by_form = forms.select("form", "id").join(labels, "id").select("form", F.col("label").alias("entity"))
     return skew_join(read.select("author_no", "form"), by_form, ["form"]).select("author_no", "entity").distinct()
 

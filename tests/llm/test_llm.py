@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, lookalike, merkle, names, packing, pairs, spam
+from graphloom.llm import leaks, lookalike, merkle, metric, names, packing, pairs, spam
 
 
 # look-alikes ---------------------------------------------------------------------------------
@@ -76,13 +76,34 @@ def test_name_variants(spark):
     assert names.entities(df.limit(0)).count() == 0
 
 
-def test_names_at_distance_one_share_a_cell(spark):
+def test_radius_join_against_brute_force_and_a_deletion_index(spark, monkeypatch):
     rnd = random.Random(3)
-    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(4, 7))) for _ in range(120)})
-    forms = spark.createDataFrame([(i, "person", "", True, [(w, "ann", 0, ["a"])]) for i, w in enumerate(words)], "id long, kind string, aff string, full boolean, ways array<struct<main:string,rest:string,how:int,seconds:array<string>>>")
-    at = names.cells(forms)
-    got = {(r["a"], r["b"]) for r in names._graded(at, at, ["kind", "aff", "pivot", "letter"], True).collect()}
-    assert got == {(i, j) for i, j in itertools.combinations(range(len(words)), 2) if names.edit_distance(words[i], words[j], 1) <= 1}
+    words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(9))) for _ in range(260)})
+    rows = [("x", w) for w in words] + [("y", w) for w in words[::3]] + [(None, "a"), ("z", None)]
+    points = spark.createDataFrame(rows, "g string, name string")
+    for cell in (1, 1000):
+        monkeypatch.setattr(metric, "ONE_CELL", cell)
+        got = {(r["g"], r["a"], r["b"]) for r in metric.radius_pairs(points, ["g"], 1).collect()}
+        cut_out = lambda w: {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
+        for g, own in (("x", words), ("y", words[::3])):
+            want = {(a, b) for a in own for b in own if names.edit_distance(a, b, 1) <= 1}
+            assert {(a, b) for k, a, b in got if k == g} == want
+            assert all(cut_out(a) & cut_out(b) for a, b in want)  # each pair would also meet in an index of deletions
+    two = {(r["a"], r["b"]): r["d"] for r in metric.radius_pairs(points.where("g = 'x'"), ["g"], 2, points.where("g = 'y'").withColumn("g", F.lit("x"))).collect()}
+    plain = lambda a, b: min(names.edit_distance(a, b, 2), 3)
+    got = {k for k, d in two.items() if d < 2}
+    assert got == {(a, b) for a in words[::3] for b in words if names.edit_distance(a, b, 1) <= 1}
+    assert {k for k in two if plain(*k) > 2} == set() and len(two) > len(got)
+    assert metric.radius_pairs(points.limit(0), ["g"], 1).count() == 0
+
+
+def test_long_names_two_edits_apart_and_learnt_nicknames(spark):
+    rows = [(1, "Karl", "Hartwickson", "Inst A"), (2, "Karl", "Hartvicson", "Inst A"), (3, "K.", "Hartvikson", "Inst B"), (4, "Karl", "Hartwickson", "Inst B"), (5, "Karl", "Hart", "Inst A"), (6, "Karl", "Harp", "Inst A")]
+    rows += [(10 + 2 * k + j, n, f"Qua{c}{c}umel", f"Inst {c}") for k, c in enumerate("bdfg") for j, n in enumerate(("Ferapontina", "Fonty"))]
+    rows += [(30, "Fonty", "Velgrome", "Inst A"), (31, "Ferapontina", "Velgrome", "Inst A"), (32, "Bob", "Zagore", "Inst A"), (33, "Robert", "Zagore", "Inst A")]
+    authors = spark.createDataFrame([(n, g, f, f"{g} {f}", a) for n, g, f, a in rows], "author_no long, given string, family string, name string, affiliation string")
+    found = {tuple(r) for r in names.same_entity_pairs(names.entities(authors)).collect()}
+    assert found == {(1, 2), (5, 6), (30, 31), (32, 33)} | {(10 + 2 * k, 11 + 2 * k) for k in range(4)}
 
 
 # pairs ---------------------------------------------------------------------------------------
