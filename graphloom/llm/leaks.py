@@ -26,13 +26,26 @@ MIN_TEMPLATE, MIN_CONSISTENT = 0.8, 0.9
 #: Up to so many windows of items (of about 100 bytes) the item side is broadcast, else shuffled.
 BROADCAST_WINDOWS = 300_000
 
-# Number words and units.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-NUMBER_WORDS = frozenset(ONES + TENS + "hundred thousand million billion dozen".split() + [t + o for t in TENS for o in ONES[1:10]])
+# Number words by language (one, where it is an article too, left out) and units.
+_TENS = {
+    "en": "twenty thirty forty fifty sixty seventy eighty ninety".split(),
+    "de": "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split(),
+    "fr": "vingt trente quarante cinquante soixante septante octante nonante".split(),
+    "es": "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa".split(),
+}
+_SMALL = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(),
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn".split(),
+    "fr": "zéro deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize".split(),
+    "es": "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince".split(),
+}
+_LARGE = {"en": "hundred thousand million billion dozen".split(), "de": "hundert tausend million millionen".split(), "fr": "mille million millions douzaine".split(), "es": "ciento mil millón millones docena".split()}
+_JOINED = {"en": "{ten}{one}", "de": "{one}und{ten}", "fr": "{ten}{one}", "es": "veinti{one}"}
+#: Number words of each language, compound ones by rule; hyphens within words are removed first.
+NUMBER_WORDS = {k: frozenset(_SMALL[k] + _TENS[k] + _LARGE[k] + [_JOINED[k].format(ten=t, one="ein" if o == "eins" else o) for t in _TENS[k] for o in _SMALL[k][1:10]]) for k in _TENS}
 UNITS = frozenset("second seconds minute minutes hour hours day days week weeks month months year years percent cent mm cm km kg mg kb mb gb tb metre metres meter meters mile miles gram grams litre litres dollar dollars euro euros".split())
 
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _HIDDEN = re.compile(r"[­​-‏⁠﻿]")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*(?:\r\n|\r|\n)[ \t>|*]*(?=\w)")
 _INNER = re.compile(r"(?<=\w)[-'’‑](?=\w)")
@@ -43,7 +56,9 @@ _STARTS = re.compile(r"(?:^|[.!?:;\"“”(\n])\s*$")
 
 def tokens(text: str) -> list[tuple[str, bool]]:
     """Words without layout, and whether each owes a capital it has to its place."""
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", _TAG.sub(" ", html.unescape(text))))
+    text = _TAG.sub(" ", html.unescape(text))
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     text = _INNER.sub("", _BROKEN.sub("", _ESCAPED.sub("\n", text)))
     out = []
     for m in _WORD.finditer(text):
@@ -52,28 +67,44 @@ def tokens(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def item_names(texts: list[str]) -> frozenset[str]:
-    """Words that the texts write with a capital inside sentences and never without."""
-    upper, lower = Counter(), Counter()
-    for text in texts:
-        for word, first in tokens(text):
-            if word[0].islower():
-                lower[word] += 1
-            elif word[0].isupper() and not first:
-                upper[word.lower()] += 1
-    return frozenset(w for w in upper if not lower[w])
+def _writings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        upper, lower = Counter(), Counter()
+        for text in batch.column(0).to_pylist():
+            for word, first in tokens(text):
+                if word[0].islower():
+                    lower[word] += 1
+                elif word[0].isupper() and not first:
+                    upper[word.lower()] += 1
+        words = sorted(set(upper) | set(lower))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([upper[w] for w in words], pa.int64()), pa.array([lower[w] for w in words], pa.int64())], names=["word", "upper", "lower"])
 
 
-def canonical(text: str, names: frozenset[str]) -> list[tuple[str, str]]:
+def item_names(texts: DataFrame, text_col: str) -> frozenset[str]:
+    """Words that the texts write with a capital inside sentences and never without.
+
+    Counted where the texts are; only the names come to the driver, part of the items' vocabulary.
+    """
+    seen = texts.select(text_col).mapInArrow(_writings, "word string, upper bigint, lower bigint").groupBy("word").agg(F.sum("upper").alias("upper"), F.sum("lower").alias("lower"))
+    return frozenset(r[0] for r in seen.where("upper > 0 AND lower = 0").select("word").collect())
+
+
+@lru_cache(maxsize=1 << 17)
+def _shape(word: str) -> tuple[str, bool, bool]:
+    """Lower case, whether it begins with a capital, whether it is all capitals."""
+    return word.lower(), word[0].isupper(), word.isupper()
+
+
+def canonical(text: str, names: frozenset[str], numbers: frozenset[str]) -> list[tuple[str, str]]:
     """(slot or word, word) of each word: numbers, names and units become typed placeholders."""
     found = tokens(text)
-    shouted = sum(w.isupper() for w, _ in found) > len(found) / 2
+    shapes = [_shape(w) for w, _ in found]
+    shouted = sum(all_upper for *_, all_upper in shapes) > len(found) / 2
     out = []
-    for word, first in found:
-        low = word.lower()
-        if low[0].isdigit() or low in NUMBER_WORDS:
+    for (low, upper, all_upper), (_, first) in zip(shapes, found, strict=True):
+        if low[0].isdigit() or low in numbers:
             out.append(("<number>", low))
-        elif low in names or (word[0].isupper() and not first and not shouted and not word.isupper()):
+        elif low in names or (upper and not first and not shouted and not all_upper):
             out.append(("<name>", low))
         else:
             out.append(("<unit>" if low in UNITS else low, low))
@@ -101,20 +132,26 @@ _ARROW = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("at", pa.int32())
 TEXTS_A_BATCH = 250
 
 
-def _windower(names: frozenset[str], width: int, wanted: np.ndarray | None):
+def _windower(names: frozenset[str], numbers: frozenset[str], width: int, wanted: np.ndarray | None):
     def windows(ids: list[int], texts: list[str]) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], [], []]
         slots: list[str] = []
         for doc, text in zip(ids, texts, strict=True):
-            form = canonical(text, names)
+            form = canonical(text, names, numbers)
             w = min(width, len(form))
             if not w or (wanted is not None and not len(wanted)):
                 continue
+            plain = np.cumsum([0] + [p[0] != "<" for p, _ in form])
             template = _rolled([p for p, _ in form], w)
-            keep = np.arange(len(template)) if wanted is None else np.flatnonzero(wanted[np.searchsorted(wanted, template).clip(max=len(wanted) - 1)] == template)
+            told = plain[w:] > plain[:-w]  # a window of slots alone says nothing
+            if wanted is not None:
+                told &= wanted[np.searchsorted(wanted, template).clip(max=len(wanted) - 1)] == template
+            keep = np.flatnonzero(told)
             if not len(keep):
                 continue
             exact = _rolled([x for _, x in form], w)
+            if wanted is not None:
+                keep = keep[np.unique(exact[keep], return_index=True)[1]]  # what a page repeats counts once
             for col, values in zip(cols, (np.full(len(keep), doc, np.int64), np.full(len(keep), len(form), np.int32), keep.astype(np.int32), template[keep].view(np.int64), exact[keep].view(np.int64)), strict=True):
                 col.append(values)
             slots += [" ".join(x for p, x in form[k : k + w] if p[0] == "<") for k in keep]
@@ -130,51 +167,80 @@ def _windower(names: frozenset[str], width: int, wanted: np.ndarray | None):
     return run
 
 
-def template_windows(texts: DataFrame, id_col: str, text_col: str, names: frozenset[str], width: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
-    """Every window of every text (or those whose template is ``wanted``): place, hash of its
-    template, hash of its words, the words in its slots."""
+def template_windows(texts: DataFrame, id_col: str, text_col: str, names: frozenset[str], numbers: frozenset[str], width: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
+    """Windows of every text that hold at least one plain word (or those whose template is ``wanted``,
+    each once a text): place, hash of the template, hash of the words, the words in the slots."""
     rows = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_windower(names, width, wanted), WINDOWS)
+    return rows.mapInArrow(_windower(names, numbers, width, wanted), WINDOWS)
+
 
+def _covers(places: set[int], width: int) -> int:
+    """How many words the windows at ``places`` cover together."""
+    last, n = -width, 0
+    for at in sorted(places):
+        n += min(width, at - last)
+        last = at
+    return n
 
-def _covered(positions: str, width: int) -> object:
-    """How many words the windows at the sorted, distinct ``positions`` cover together."""
-    step = lambda acc, p: F.struct((acc["n"] + F.least(F.lit(width), p - acc["last"])).cast("int").alias("n"), p.alias("last"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
-    return F.aggregate(F.array_sort(positions), start, step, lambda acc: acc["n"])
+
+def judge(size: int, width: int, met: list[tuple[int, str, str]]) -> tuple[float, float, float]:
+    """(``covered``, ``template``, ``consistent``) of an item of ``size`` words from the windows that
+    it shares with a page: (place in the item, words in the item's slots, words in the page's).
+
+    Every slot word of the item maps to the page's word that most of its windows give it, itself
+    first among equals. ``covered`` is the share of the item inside windows whose slots all map to
+    themselves, ``template`` that inside windows which keep to the mapping, ``consistent`` the share
+    of slot words with a single rendering.
+    """
+    width = min(width, size)
+    votes: dict[str, Counter] = {}
+    pairs = [(at, list(zip(own.split(), other.split(), strict=False))) for at, own, other in met]
+    for a, b in ((a, b) for _, slots in pairs for a, b in set(slots)):
+        votes.setdefault(a, Counter())[b] += 1
+    best = {a: min(c, key=lambda b, a=a, c=c: (-c[b], b != a, b)) for a, c in votes.items()}
+    same = {at for at, slots in pairs if all(a == b for a, b in slots)}
+    kept = {at for at, slots in pairs if all(best[a] == b for a, b in slots)}
+    single = sum(len(c) == 1 for c in votes.values()) / len(votes) if votes else 1.0
+    return _covers(same, width) / size, _covers(kept, width) / size, single
+
+
+def _judged(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["id"], r["item_id"], *judge(r["words"], width, [(m["at"], m["item_slots"], m["slots"]) for m in r["met"]])) for r in batch.to_pylist()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), batch.schema.field("item_id").type, pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "covered", "template", "consistent"])
+
+    return run
 
 
-def leaks(corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
+def leaks(
+    corpus: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, numbers: dict[str, frozenset[str]] | None = None
+) -> DataFrame:
     """(``doc_id``, ``item_id``, ``covered``, ``template``, ``consistent``) of pages that leak items.
 
-    ``covered`` is the share of the item's words inside windows that occur in the page word for word,
-    ``template`` that inside windows whose templates occur, ``consistent`` the share of the item's
-    slot words that the page renders in one way only. A page leaks an item if ``covered`` >=
-    MIN_COVER, or if ``template`` >= MIN_TEMPLATE and ``consistent`` >= MIN_CONSISTENT (a question
-    with other numbers and names). Each window of the item counts once, so what a page repeats counts
-    no more.
-
-    All windows of all pages are hash-joined with those of the items: while these are few (the number
-    is checked), what can't match is dropped where it is made and the rest joined by broadcast, else
-    by shuffle. A page's matches combine before they are shuffled.
-    Null ids and texts are left out; texts shorter than a window make one window; repeated rows give
-    one result; extra columns are ignored; an empty side gives no rows.
+    All windows of all pages are hash-joined with those of the items by their templates, in which
+    numbers, names and units are typed slots, and the slots decide (``judge``): a page leaks an item
+    if windows in which every slot maps to itself (the text as it is, or passages of it) cover
+    MIN_COVER of it, or if windows that keep to one renaming cover MIN_TEMPLATE and at least
+    MIN_CONSISTENT of the slot words have one rendering (the question with other numbers and names).
+    Each window counts once, so what a page repeats counts no more. Windows of slots alone are left
+    out on both sides: they are the same for any row of numbers. ``numbers`` has the number words of
+    each language (NUMBER_WORDS if None).
+
+    While the items' windows are few (the number is checked), what can't match is dropped where it is
+    made and the rest joined by broadcast, else by shuffle. A page's matches combine before they are
+    shuffled, and pairs that share too few windows to reach MIN_COVER are dropped before they are
+    judged. Null ids and texts are left out; texts shorter than a window make one window; repeated
+    rows give one result; extra columns are ignored; an empty side gives no rows.
     """
-    questions = items.where(F.col(item_text).isNotNull()).select(item_id, item_text)
-    names = item_names([r[0] for r in questions.select(item_text).toLocalIterator()])
-    known = cut(template_windows(questions, item_id, item_text, names, width).select(F.col("id").alias("item_id"), F.col("size").alias("words"), "at", "template", F.col("exact").alias("item_exact"), F.col("slots").alias("item_slots")))
+    questions = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias(item_id), item_text)
+    names, words = item_names(questions, item_text), frozenset().union(*(NUMBER_WORDS if numbers is None else numbers).values())
+    known = cut(template_windows(questions, item_id, item_text, names, words, width).select(F.col("id").alias("item_id"), F.col("size").alias("words"), "at", "template", F.col("slots").alias("item_slots")))
     few = known.count() <= BROADCAST_WINDOWS
     wanted = np.unique(np.fromiter((r[0] for r in known.select("template").toLocalIterator()), np.int64).view(np.uint64)) if few else None
-    met = template_windows(corpus, doc_id, doc_text, names, width, wanted).drop("size", "at").join(F.broadcast(known) if few else known, "template")
-    same = F.col("exact") == F.col("item_exact")
-    pairs = met.groupBy("id", "item_id").agg(
-        F.min("words").alias("words"), F.collect_set("at").alias("at"), F.collect_set(F.when(same, F.col("at"))).alias("at_exact"), F.collect_set(F.struct("item_slots", "slots")).alias("slots")
-    )
-    span = F.least(F.lit(width), F.col("words"))
-    covered = pairs.select("id", "item_id", "slots", (_covered("at_exact", width) / F.col("words")).alias("covered"), (_covered("at", width) / F.col("words")).alias("template"), span.alias("span"))
-    renamed = F.array_distinct(F.flatten(F.transform("slots", lambda s: F.arrays_zip(F.split(s["item_slots"], " ").alias("a"), F.split(s["slots"], " ").alias("b")))))
-    sources = F.array_distinct(F.transform(renamed, lambda r: r["a"]))
-    consistent = F.when(F.size(renamed) == 0, 1.0).otherwise(F.size(F.filter(sources, lambda s: F.size(F.filter(renamed, lambda r: r["a"] == s)) == 1)) / F.size(sources))
-    near = covered.where((F.col("covered") >= MIN_COVER) | (F.col("template") >= MIN_TEMPLATE)).withColumn("consistent", consistent)
-    found = near.where((F.col("covered") >= MIN_COVER) | (F.col("consistent") >= MIN_CONSISTENT))
-    return found.select(F.col("id").alias("doc_id"), "item_id", "covered", "template", "consistent")
+    met = template_windows(corpus, doc_id, doc_text, names, words, width, wanted).select("id", "template", "slots").join(F.broadcast(known) if few else known, "template")
+    pairs = met.groupBy("id", "item_id").agg(F.min("words").alias("words"), F.collect_set(F.struct("at", "item_slots", "slots")).alias("met"))
+    near = pairs.where(F.size(F.array_distinct("met.at")) * F.least(F.lit(width), F.col("words")) >= MIN_COVER * F.col("words"))
+    judged = near.mapInArrow(_judged(width), "doc_id bigint, item_id bigint, covered double, template double, consistent double")
+    return judged.where((F.col("covered") >= MIN_COVER) | ((F.col("template") >= MIN_TEMPLATE) & (F.col("consistent") >= MIN_CONSISTENT)))

@@ -192,6 +192,17 @@ def test_leaks_by_shuffle_join(spark, monkeypatch):
     assert [tuple(r)[:2] for r in leaks.leaks(corpus, spark.createDataFrame([(5, ITEM)], "item_id long, text string")).collect()] == [(1, 5)]
 
 
+def test_slots_decide(spark):
+    assert leaks.judge(8, 4, [(0, "two", "two"), (4, "", "")]) == (1.0, 1.0, 1.0)
+    assert leaks.judge(8, 4, [(0, "two", "six"), (1, "two", "six"), (4, "rome", "oslo"), (5, "two", "nine")]) == (0.0, 1.0, 0.5)
+    assert leaks.judge(3, 4, [(0, "", "")]) == (1.0, 1.0, 1.0)
+    numbers = " ".join(str(n) for n in range(3000))
+    corpus = spark.createDataFrame([(1, numbers), (2, "Zwanzig Karten liegen auf fünfundzwanzig Tischen neben dem roten Haus am Markt"), (3, ITEM.replace("<", ""))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "1 2 3 4 5 6"), (2, "Dreißig Karten liegen auf siebzig Tischen neben dem roten Haus am Markt")], "item_id long, text string")
+    # rows of numbers are no text; the same question with other numbers is one
+    assert [tuple(r)[:2] for r in leaks.leaks(corpus, items).collect()] == [(2, 2)]
+
+
 # spam ----------------------------------------------------------------------------------------
 
 
