@@ -30,14 +30,14 @@ def _is_hot(on: list[str], keys: list[tuple]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(on, k, strict=True)]) for k in keys]), F.lit(False))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", keys: list[tuple] | None = None) -> DataFrame:
     """Equi-join in which the hot keys of ``left`` are joined by broadcast and the rest by shuffle.
 
     ``right`` must hold each key once, so what is broadcast has at most MAX_HOT rows. ``how`` is inner, left, left_semi or left_anti. Without hot keys it is the
     plain join. Rows of ``left`` whose key holds a null match nothing. An empty side gives the
-    ordinary result of the join.
+    ordinary result of the join. ``keys``, from ``hot_keys``, saves looking for them again.
     """
-    keys = hot_keys(left, on)
+    keys = hot_keys(left, on) if keys is None else keys
     if not keys:
         return left.join(right, on, how)
     hot = _is_hot(on, keys)
