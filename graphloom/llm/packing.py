@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents packed together in one task. A block wastes at most one container more than half empty,
-#: against some hundred thousand full ones, and holds a few numbers a document.
-BLOCK_ROWS = 500_000
-PACKED = "doc_id bigint, piece int, size bigint, container bigint"
+from graphloom.session import cut
+
+#: Documents packed together in one task, about.
+BLOCK_ROWS = 50_000
+#: Rounds of packing anew what the least filled containers hold.
+REPACKS = 6
+PACKED = "doc_id bigint, lost boolean, piece int, size bigint, container bigint, room bigint"
 
 
 class SegmentTree:
@@ -62,28 +66,29 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _packer(capacity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        block = None
-        for batch in batches:
-            for doc, size, part in zip(batch["doc_id"].tolist(), batch["size"].tolist(), batch["block"].tolist(), strict=True):
-                block = part
-                rows.append((doc, size))
-        if block is None:
-            return
-        rows.sort(key=lambda r: (r[0] is None or r[0] != r[0], r[0] if r[0] is not None else 0, r[1]))
-        items: list[tuple] = []
-        for doc, size in rows:
-            full, rest = divmod(size, capacity)
-            items += [(doc, k, capacity) for k in range(full)]
-            if rest or not full:
-                items.append((doc, full, rest))
-        bins = best_fit_decreasing([s for _, _, s in items], capacity)
-        frame = pd.DataFrame(items, columns=["doc_id", "piece", "size"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        frame["container"] = [(block << 32) + b for b in bins]
-        yield frame
+def _pieces(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """The rows of a block with documents beyond the capacity split into full pieces and a rest, in an
+    order of their own, so that packing doesn't depend on how rows arrive."""
+    rows = rows.sort_values(["lost", "doc_id", "piece", "size"], kind="stable", ignore_index=True)
+    size = rows["size"].to_numpy(dtype=np.int64)
+    full = size // capacity
+    rest = size - full * capacity
+    times = full + ((rest > 0) | (full == 0))
+    out = rows.loc[rows.index.repeat(times)].reset_index(drop=True)
+    nth = np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
+    out["size"] = np.where(nth == np.repeat(full, times), np.repeat(rest, times), capacity)
+    out["piece"] += nth
+    return out
+
+
+def _packer(capacity: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        frame = _pieces(block, capacity)
+        bins = np.array(best_fit_decreasing(frame["size"].tolist(), capacity), dtype=np.int64)
+        used = np.bincount(bins, frame["size"]).astype(np.int64)
+        frame["container"] = (level << 58) + (int(frame["block"].iloc[0]) << 34) + bins
+        frame["room"] = capacity - used[bins]
+        return frame[["doc_id", "lost", "piece", "size", "container", "room"]]
 
     return run
 
@@ -92,17 +97,34 @@ def pack(documents: DataFrame, id_col: str, size_col: str, capacity: int, block_
     """(``doc_id``, ``piece``, ``size``, ``container``) of every row of ``documents``.
 
     A document is split only if it exceeds ``capacity``: into full pieces and a rest. Rows are dealt
-    evenly over blocks of about ``block_rows``, each packed best-fit decreasing by itself; as any-fit
-    packing leaves at most one bin half empty or more, a block costs at most about one container
-    against packing all at once. A null or negative size counts as 0; a null id is packed like any
-    other; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+    by a hash over blocks, as many as hold ``block_rows`` each, and every block is packed best-fit
+    decreasing by itself, in one task; a retried task finds the same rows. The place of a row in its
+    file adds to the hash, so that a row repeated a million times is spread too. Packing by blocks
+    leaves each block some containers with room where packing all at once would leave a few in all.
+    So what the containers hold that aren't full to within 1/256 of the capacity is packed anew, over
+    at most half as many blocks, until one is left or REPACKS rounds are done; each round keeps what
+    it filled. A null or negative size counts as 0; a null id is packed like any other; repeated rows
+    are packed each; an empty table gives no rows; other columns are ignored.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
-    blocks = max(1, math.ceil(documents.count() / block_rows))
-    dealt = rows.repartition(blocks) if blocks > 1 else rows.coalesce(1)
-    return dealt.withColumn("block", F.spark_partition_id().cast("bigint")).mapInPandas(_packer(capacity), PACKED)
+    number = F.col(id_col).cast("bigint")
+    size = F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0))
+    rows = documents.select(F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().alias("lost"), F.lit(0).alias("piece"), size.alias("size"))
+    blocks, done, enough = max(1, math.ceil(documents.count() / block_rows)), None, capacity // 256
+    for level in range(REPACKS + 1):
+        deal = F.pmod(F.xxhash64("doc_id", "piece", "size", F.monotonically_increasing_id().bitwiseAND(F.lit(63))), F.lit(blocks))
+        dealt = rows.withColumn("block", deal).repartition(blocks, "block")
+        packed = dealt.groupBy("block").applyInPandas(_packer(capacity, level), PACKED)
+        last = blocks == 1 or level == REPACKS
+        packed = packed if last else cut(packed)
+        kept = packed if last else packed.where(F.col("room") <= enough)
+        done = kept if done is None else done.unionByName(kept)
+        if last:
+            break
+        rows = packed.where(F.col("room") > enough).drop("container", "room")
+        blocks = max(1, min(math.ceil(rows.count() / block_rows), blocks // 2))
+    return done.select(F.when(~F.col("lost"), F.col("doc_id")).alias("doc_id"), "piece", "size", "container")
 
 
 def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
