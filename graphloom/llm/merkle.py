@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import DOI_PATTERN
 from graphloom.operators.nested import parse_record
 from graphloom.operators.skew import skew_join
-from graphloom.session import scratch_path
+from graphloom.session import cut, scratch_path
 
 _DOI = re.compile(DOI_PATTERN)
-_FORMATTING = regex.compile(r"[\p{P}\p{Z}\p{Cf}\s$+<=>^`|~]+")
+#: Marks and blanks; symbols ("C++", "p < 0.05") mean something and stay.
+_FORMATTING = regex.compile(r"[\p{P}\p{Z}\p{Cf}\s]+")
 DIGESTS = "tbl string, id bigint, digest binary, form string"
 
 
@@ -99,7 +100,7 @@ def formatting_copies(records: DataFrame, envelope: str | None = None) -> DataFr
     rows = spark.read.schema(DIGESTS).parquet(path)
     key = ["tbl", "digest"]
     classes = rows.groupBy(*key).agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id < last").drop("last")
-    members = skew_join(rows, classes, key)
+    members = cut(skew_join(rows, classes, key))
     kept = members.where("id = keep_id").groupBy("tbl", "keep_id").agg(F.first("form").alias("kept_form"))
     compared = skew_join(members, kept, ["tbl", "keep_id"])
     same = compared.where("form = kept_form").select("tbl", "keep_id", "id")

@@ -13,6 +13,8 @@ from graphloom.functions.text import strip
 from graphloom.operators.skew import skew_join
 from graphloom.session import cut
 
+#: Items of a basket that meet in one task; larger baskets are split into pieces of about so many.
+PIECE = 2_000
 RUN_SCHEMA = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
@@ -70,16 +72,26 @@ def pair_counts(baskets: DataFrame, basket: str, items: str, min_count: int = 1)
     Items become dense ids, a pair one 64-bit code. Each task sorts its codes (Spark's external sort
     spills sorted runs and merges them) and shortens them to run lengths before anything is
     shuffled, so a pair that holds a third of all rows costs one row a task; a second sort merges
-    the runs. Items are joined with the dictionary by ``skew_join``, so a hot item is broadcast.
+    the runs. Items are joined with the dictionary by ``skew_join``, so a hot item is broadcast. A basket of
+    more than PIECE items is split, and every two of its pieces meet in a group of their own.
     """
     rows = baskets.where(F.col(basket).isNotNull()).select(F.col(basket).alias("basket"), F.col(items).alias("items"))
     total = rows.select("basket").distinct().count()
     held = rows.select("basket", F.explode("items").alias("item")).select("basket", strip(F.col("item")).alias("item")).where(F.col("item") != "").distinct()
     held = cut(held)
     dictionary = cut(dense_ids(held.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), "item"))
-    ids = skew_join(held, dictionary.select("item", "id"), ["item"]).groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-    firsts = ids.select("ids", F.posexplode("ids").alias("i", "a"))
-    codes = firsts.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).select(F.shiftleft("a", 32).bitwiseOR(F.col("b")).alias("code"), F.lit(1).cast("bigint").alias("n"))
+    numbered = skew_join(held, dictionary.select("item", "id"), ["item"]).select("basket", "id")
+    # a piece of a basket holds about PIECE items, chosen by a hash; each pair of pieces meets once
+    sizes = held.groupBy("basket").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    dealt = numbered.join(sizes, "basket").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    small = dealt.where("pieces = 1").groupBy("basket").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select(F.col("ids").alias("one"), F.col("ids").alias("other"), F.lit(True).alias("same"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least("piece", k).alias("p"), F.greatest("piece", k).alias("q")))
+    placed = dealt.where("pieces > 1").select("basket", "id", "piece", F.explode(cells).alias("cell"))
+    held_by = lambda k: F.collect_list(F.when(F.col("piece") == F.col(f"cell.{k}"), F.col("id"))).alias({"p": "one", "q": "other"}[k])
+    large = placed.groupBy("basket", "cell").agg(held_by("p"), held_by("q")).select("one", "other", (F.col("cell.p") == F.col("cell.q")).alias("same"))
+    firsts = small.unionByName(large).select(F.explode("one").alias("x"), "other", "same")
+    met = firsts.select("x", F.explode("other").alias("y"), "same").where(~F.col("same") | (F.col("x") < F.col("y")))
+    codes = met.select(F.shiftleft(F.least("x", "y"), 32).bitwiseOR(F.greatest("x", "y")).alias("code"), F.lit(1).cast("bigint").alias("n"))
     runs = codes.sortWithinPartitions("code").mapInArrow(run_lengths, "code bigint, n bigint")
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(run_lengths, "code bigint, n bigint")
     return merged.where(F.col("n") >= min_count), dictionary, total

@@ -24,6 +24,8 @@ def test_look_alikes(spark):
     texts = spark.createDataFrame(rows, "id long, field string, raw string").withColumn("form", F.lit("clash"))
     found = {tuple(r) for r in lookalike.visually_equal(lookalike.consistent_forms(texts)).collect()}
     assert found == {("title", a, b) for a, b in ((1, 2), (1, 3), (2, 3), (6, 7))}
+    classes = {(r["record"], r["texts"], r["records"]) for r in lookalike.look_alike_classes(lookalike.consistent_forms(texts)).collect()}
+    assert classes == {(1, 3, 3), (2, 3, 3), (3, 3, 3), (6, 2, 2), (7, 2, 2)}
     assert lookalike.consistent_forms(texts.limit(0)).count() == 0
 
 
@@ -80,21 +82,22 @@ def test_radius_join_against_brute_force_and_a_deletion_index(spark, monkeypatch
     rnd = random.Random(3)
     words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(9))) for _ in range(260)})
     rows = [("x", w) for w in words] + [("y", w) for w in words[::3]] + [(None, "a"), ("z", None)]
-    points = spark.createDataFrame(rows, "g string, name string")
+    points = spark.createDataFrame(rows, "block string, name string").withColumn("radius", F.lit(1))
     for cell in (1, 1000):
         monkeypatch.setattr(metric, "ONE_CELL", cell)
-        got = {(r["g"], r["a"], r["b"]) for r in metric.radius_pairs(points, ["g"], 1).collect()}
+        got = {(r["block"], r["a"], r["b"]) for r in metric.radius_pairs(points).collect()}
         cut_out = lambda w: {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
         for g, own in (("x", words), ("y", words[::3])):
             want = {(a, b) for a in own for b in own if names.edit_distance(a, b, 1) <= 1}
             assert {(a, b) for k, a, b in got if k == g} == want
             assert all(cut_out(a) & cut_out(b) for a, b in want)  # each pair would also meet in an index of deletions
-    two = {(r["a"], r["b"]): r["d"] for r in metric.radius_pairs(points.where("g = 'x'"), ["g"], 2, points.where("g = 'y'").withColumn("g", F.lit("x"))).collect()}
+    far = points.withColumn("radius", F.lit(2))
+    two = {(r["a"], r["b"]): r["d"] for r in metric.radius_pairs(far.where("block = 'x'"), far.where("block = 'y'").withColumn("block", F.lit("x"))).collect()}
     plain = lambda a, b: min(names.edit_distance(a, b, 2), 3)
     got = {k for k, d in two.items() if d < 2}
     assert got == {(a, b) for a in words[::3] for b in words if names.edit_distance(a, b, 1) <= 1}
     assert {k for k in two if plain(*k) > 2} == set() and len(two) > len(got)
-    assert metric.radius_pairs(points.limit(0), ["g"], 1).count() == 0
+    assert metric.radius_pairs(points.limit(0)).count() == 0
 
 
 def test_long_names_two_edits_apart_and_learnt_nicknames(spark):
@@ -128,6 +131,20 @@ def test_pairs_against_brute_force(spark):
     assert pairs.associations(df.limit(0), "basket", "items").count() == 0
 
 
+def test_large_baskets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PIECE", 7)
+    baskets = [(1, [f"i{k}" for k in range(40)]), (2, ["i1", "i2"]), (3, [f"i{k}" for k in range(5, 15)])]
+    want = Counter(p for _, s in baskets for p in itertools.combinations(sorted(s), 2))
+    got = {(r["item_a"], r["item_b"]): r["n"] for r in pairs.associations(spark.createDataFrame(baskets, "basket long, items array<string>"), "basket", "items").collect()}
+    assert got == dict(want)
+
+
+def test_symbols_are_no_formatting(spark):
+    rows = [(1, "Learning C++"), (2, "learning  C"), (3, "p < 0.05"), (4, "p > 0.05"), (5, "Learning, C++")]
+    df = spark.createDataFrame([("t", i, json.dumps({"title": x})) for i, x in rows], "tbl string, id long, json string")
+    assert [tuple(r) for r in merkle.formatting_copies(df).collect()] == [("t", 1, 5)]
+
+
 def test_run_lengths_across_batches():
     import pyarrow as pa
 
@@ -165,6 +182,14 @@ def test_packing_matches_plain_best_fit(spark):
     blocks = packing.pack(spark.range(1000).withColumn("n", F.col("id") % 9 + 1), "id", "n", 10, block_rows=300)
     assert blocks.groupBy("container").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] <= 10 and blocks.select("doc_id").distinct().count() == 1000
     assert packing.pack(spark.createDataFrame([], "d long, n long"), "d", "n", 10).count() == 0
+    # blocks lose next to nothing, and large ids beside nulls stay exact
+    many = spark.range(6000).select((F.col("id") + 2**60).alias("id"), (F.pmod(F.xxhash64("id"), F.lit(700)) + 1).alias("n")).unionByName(spark.createDataFrame([(None, 5)], "id long, n long"))
+    apart = packing.pack(many, "id", "n", 1000, block_rows=400)
+    report = packing.packing_report(apart, 1000).first()
+    assert report["fullest"] <= 1000 and report["pieces"] == 6001 and apart.select("doc_id").distinct().count() == 6001 and apart.where("doc_id IS NULL").count() == 1
+    assert report["containers"] <= packing.packing_report(packing.pack(many, "id", "n", 1000), 1000).first()["containers"] * 1.01 + 1
+    same = spark.range(20_000).select(F.lit(7).alias("id"), F.lit(3).alias("n"))
+    assert packing.packing_report(packing.pack(same, "id", "n", 10, block_rows=2000), 10).first()["containers"] <= 6700
 
 
 # leaks ---------------------------------------------------------------------------------------
