@@ -24,6 +24,8 @@ def test_look_alikes(spark):
     texts = spark.createDataFrame(rows, "id long, field string, raw string").withColumn("form", F.lit("clash"))
     found = {tuple(r) for r in lookalike.visually_equal(lookalike.consistent_forms(texts)).collect()}
     assert found == {("title", a, b) for a, b in ((1, 2), (1, 3), (2, 3), (6, 7))}
+    alone = {tuple(r) for r in lookalike.visually_equal(lookalike.consistent_forms(texts, known_only=True)).collect()}
+    assert alone == {("title", a, b) for a, b in ((1, 2), (1, 3), (2, 3))}  # "с" alone in Latin letters is wholly of another script
     classes = {(r["record"], r["texts"], r["records"]) for r in lookalike.look_alike_classes(lookalike.consistent_forms(texts)).collect()}
     assert classes == {(1, 3, 3), (2, 3, 3), (3, 3, 3), (6, 2, 2), (7, 2, 2)}
     assert lookalike.consistent_forms(texts.limit(0)).count() == 0
