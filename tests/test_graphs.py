@@ -62,6 +62,24 @@ def test_two_triangles(spark):
         assert community.modularity(g, c).first()[0] > 0
 
 
+@pytest.mark.parametrize("local", [0, 50_000])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, local):
+    from graphloom.operators import components as c
+
+    monkeypatch.setattr(c, "LOCAL_LINKS", local)
+    rnd = random.Random(9)
+    edges = [(f"v{rnd.randrange(60)}", f"v{rnd.randrange(60)}") for _ in range(40)] + [("z", "z"), (None, "q"), ("v1", "v1")]
+    group = {v: {v} for e in edges if None not in e for v in e}
+    for a, b in edges:
+        if a and b and group[a] is not group[b]:
+            group[a] |= group[b]
+            for v in group[b]:
+                group[v] = group[a]
+    got = as_dict(c.component_labels(spark.createDataFrame(edges, "src string, dst string")), value="component")
+    assert got == {v: min(g) for v, g in group.items()}
+    assert c.component_labels(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_weighted_square(spark):
     g = graph(spark, [(0, 1, 1.0), (1, 2, 2.0), (2, 3, 3.0), (0, 3, 4.0)])
     assert [r["id"] for r in paths.weighted_path(g, 0, 2).orderBy("step").collect()] == [0, 1, 2]
