@@ -1,4 +1,4 @@
-"""Centralities of vertices. All are exact; iterative ones cut their lineage every few rounds."""
+"""Centralities of vertices. All are exact; iterative ones cut their lineage every round."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from graphloom.graphs.model import PropertyGraph, ranked
 from graphloom.operators.paths import pair_distances
 from graphloom.session import cut_step as cut
 
-#: Rounds between two cuts of the lineage: plans stay short, actions few.
-ROUNDS_A_CUT = 5
+#: Rounds between two looks at the change of the scores.
+ROUNDS_A_LOOK = 5
 
 
 def degrees(graph: PropertyGraph) -> DataFrame:
@@ -74,27 +74,28 @@ def betweenness(graph: PropertyGraph, top: int | None = None, normalized: bool =
 def eigenvector(graph: PropertyGraph, max_rounds: int = 1000, tolerance: float = 1e-6, fixed_rounds: int | None = None, top: int | None = None) -> DataFrame:
     """(``id``, ``score``) by power iteration on A + I, of length one; incoming edges count.
 
-    Stops when the scores change by less than ``tolerance`` times n in all, or after
+    Stops when the scores change by less than ``tolerance`` times n in a round, or after
     ``fixed_rounds``; without either it fails to converge, an error. No edges give no rows.
     """
-    arcs = cut(graph.arcs().select("src", "dst"))
+    arcs = cut(graph.arcs().select("src", "dst").unionByName(graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))))
     n = graph.vertices.count()
-    if not arcs.limit(1).count():
+    if arcs.limit(n + 1).count() <= n:
         return graph.vertices.select("id", F.lit(0.0).alias("score")).limit(0)
-    x = cut(graph.vertices.select("id", F.lit(1.0 / n).alias("score")))
-    was, rounds = x, fixed_rounds or max_rounds
+    x, rounds = cut(graph.vertices.select("id", F.lit(1.0 / n).alias("score"))), fixed_rounds or max_rounds
     for done in range(1, rounds + 1):
-        pushed = x.join(arcs, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "score").unionByName(x)
-        x = pushed.groupBy("id").agg(F.sum("score").alias("score"))
-        if done % ROUNDS_A_CUT and done != rounds:
-            continue  # lengths matter only where scores are looked at
-        x = cut(x)
-        norm = x.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0]
-        x = x.select("id", (F.col("score") / norm).alias("score"))
+        # one join and one aggregate a round, on the scores of the round before only
+        y = cut(x.join(arcs, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("score")))
+        if done % ROUNDS_A_LOOK and done != rounds:
+            x = y  # lengths matter only where scores are looked at
+            continue
+        norm = y.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0]
+        y = y.select("id", (F.col("score") / norm).alias("score"))
         if fixed_rounds is None:
-            if x.join(was.withColumnRenamed("score", "was"), "id").agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] < n * tolerance:
-                return ranked(x, "score", "id", top)
-            was = x
+            before = x.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0]
+            moved = y.join(x.select("id", (F.col("score") / before).alias("was")), "id").agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
+            if moved < n * tolerance:
+                return ranked(y, "score", "id", top)
+        x = y
     if fixed_rounds is None:
         raise AlgorithmError("Failed to converge")
     return ranked(x, "score", "id", top)
@@ -113,20 +114,21 @@ def pagerank(graph: PropertyGraph, alpha: float = 0.85, max_rounds: int = 100, t
     out = arcs.groupBy("src").agg(F.sum("weight").alias("total")).where("total > 0")
     share = cut(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     walk = cut(graph.vertices.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("goes")), "id", "left").select("id", F.coalesce("goes", F.lit(False)).alias("goes")))
-    x = walk.select("id", "goes", F.lit(1.0 / n).alias("score"))
-    rounds = fixed_rounds or max_rounds
+    goes = walk.where("goes").count()
+    x = cut(walk.select("id", "goes", F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("moved")))
+    stuck, rounds = 1.0 - goes / n, fixed_rounds or max_rounds
     for done in range(1, rounds + 1):
-        stuck = x.agg(F.coalesce(F.sum(F.when(~F.col("goes"), F.col("score"))), F.lit(0.0)).alias("stuck"))
-        given = x.join(share, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("given"))
-        score = alpha * (F.coalesce("given", F.lit(0.0)) + F.col("stuck") / n) + (1 - alpha) / n
-        y = walk.join(given, "id", "left").join(F.broadcast(stuck), F.lit(True)).select("id", "goes", score.alias("score"))
-        if done % ROUNDS_A_CUT == 0 or done == rounds:
-            before = cut(x) if fixed_rounds is None else None
-            y = cut(y)
-            if before is not None and y.join(before.select("id", F.col("score").alias("was")), "id").agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] < n * tolerance:
-                x = y
-                break
-        x = y
+        # one join and one aggregate a round, on the scores of the round before only; every vertex
+        # hands a zero to itself, so that all are there and bring their own score along
+        handed = x.join(share, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("given"), F.lit(None).cast("boolean").alias("goes"), F.lit(None).cast("double").alias("was"))
+        own = x.select("id", F.lit(0.0).alias("given"), "goes", F.col("score").alias("was"))
+        sums = handed.unionByName(own).groupBy("id").agg(F.max("goes").alias("goes"), F.sum("given").alias("given"), F.max("was").alias("was"))
+        score = alpha * (F.col("given") + F.lit(stuck / n)) + (1 - alpha) / n
+        x = cut(sums.select("id", "goes", score.alias("score"), F.abs(score - F.col("was")).alias("moved")))
+        told = x.agg(F.coalesce(F.sum(F.when(~F.col("goes"), F.col("score"))), F.lit(0.0)), F.sum("moved")).first() if goes < n or fixed_rounds is None else (0.0, 0.0)
+        stuck = told[0]
+        if fixed_rounds is None and told[1] < n * tolerance:
+            break
     return ranked(x.select("id", "score"), "score", "id", top)
 
 

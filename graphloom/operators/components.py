@@ -38,7 +38,8 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if x != y:
                 root[max(x, y)] = min(x, y)
     ids = list(root)
-    yield pd.DataFrame({"id": ids, "component": [find(v) for v in ids]})
+    if ids:
+        yield pd.DataFrame({"id": ids, "component": [find(v) for v in ids]})
 
 
 def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from graphloom.errors import AlgorithmError, GraphOperationError, ValidationError
 from graphloom.graphs.model import PropertyGraph
 from graphloom.operators.centrality import degrees
-from graphloom.operators.components import component_labels
 from graphloom.operators.kernels import per_component
 from graphloom.session import cut_step as cut
 
@@ -30,16 +29,31 @@ def spanning_forest(graph: PropertyGraph, weight: str | None = "weight", algorit
     forest = left.select("src", "dst", "weight").limit(0)
     while left.limit(1).count():
         edge = F.struct("weight", "src", "dst")
-        sides = left.select(F.col("a").alias("c"), edge.alias("e")).unionByName(left.select(F.col("b").alias("c"), edge.alias("e")))
-        chosen = cut(sides.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        forest = forest.unionByName(chosen.select("src", "dst", "weight"))
-        used = left.join(chosen.select("src", "dst"), ["src", "dst"], "left_semi")
-        labels = cut(component_labels(used, "a", "b"))
-        moved = left.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        left = cut(moved.select("src", "dst", "weight", F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b"))
+        sides = left.select(F.col("a").alias("c"), F.col("b").alias("other"), edge.alias("e")).unionByName(left.select(F.col("b").alias("c"), F.col("a").alias("other"), edge.alias("e")))
+        chosen = cut(sides.groupBy("c").agg(F.min(F.struct("e", "other")).alias("m")).select("c", "m.other", "m.e.*"))
+        forest = forest.unionByName(chosen.select("src", "dst", "weight").distinct())
+        labels = cut(_roots(chosen))
+        moved = left.join(labels.select(F.col("id").alias("a"), F.col("root").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("root").alias("cb")), "b").where("ca <> cb")
+        # of the edges between two components only the lightest can be chosen later
+        pair = [F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")]
+        left = cut(moved.groupBy(*pair).agg(F.min(edge).alias("e")).select("e.src", "e.dst", "e.weight", "a", "b"))
     return forest
 
 
+def _roots(chosen: DataFrame) -> DataFrame:
+    """(``id``, ``root``) from the edge each component has chosen (``c`` its component, ``other`` the
+    one at the other end): two components that chose one another are led by the lesser, all others
+    follow their choice; pointers then jump until all point to a leader."""
+    back = chosen.select(F.col("c").alias("other"), F.col("other").alias("c"), F.lit(True).alias("mutual"))
+    p = chosen.join(back, ["c", "other"], "left").select(F.col("c").alias("id"), F.when(F.col("mutual") & (F.col("c") < F.col("other")), F.col("c")).otherwise(F.col("other")).alias("root"))
+    while True:
+        p = cut(p)
+        jump = p.join(p.select(F.col("id").alias("root"), F.col("root").alias("next")), "root")
+        if not jump.where("root <> next").limit(1).count():
+            return p
+        p = jump.select("id", F.col("next").alias("root"))
+
+
 def maximum_flow(graph: PropertyGraph, source: object, sink: object, capacity: str = "capacity") -> tuple[float, DataFrame]:
     """Flow value and (``src``, ``dst``, ``flow``) of every edge of the component of the source.
 

@@ -135,16 +135,18 @@ def topological_levels(graph: PropertyGraph) -> DataFrame:
 
 def _peel(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
     """Levels of what can be ordered, and the vertices on or behind cycles."""
-    left = cut(graph.vertices.select("id"))
     arcs = cut(graph.edges.select("src", "dst"))
-    out, level = left.withColumn("level", F.lit(0)).limit(0), 0
+    waits = arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("waits"))
+    left = cut(graph.vertices.select("id").join(waits, "id", "left").select("id", F.coalesce("waits", F.lit(0)).cast("bigint").alias("waits")))
+    out, level = left.select("id", F.lit(0).alias("level")).limit(0), 0
     while True:
-        free = cut(left.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti"))
+        free = cut(left.where("waits = 0").select("id"))
         if not free.limit(1).count():
-            return out, left
+            return out, left.select("id")
         out = out.unionByName(free.withColumn("level", F.lit(level)))
-        left = cut(left.join(free, "id", "left_anti"))
-        arcs = cut(arcs.join(free.withColumnRenamed("id", "src"), "src", "left_anti"))
+        # only the edges of what was freed are read: over all rounds each edge counts once
+        told = arcs.join(free.withColumnRenamed("id", "src"), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("done"))
+        left = cut(left.where("waits > 0").join(told, "id", "left").select("id", (F.col("waits") - F.coalesce("done", F.lit(0))).alias("waits")))
         level += 1
 
 
