@@ -155,6 +155,14 @@ def is_dag(graph: PropertyGraph) -> bool:
     return not _peel(graph)[1].limit(1).count()
 
 
+def cycle_flags(graph: PropertyGraph) -> DataFrame:
+    """One row ``has_cycle``, ``is_dag`` (null for an undirected graph)."""
+    if not graph.directed:
+        return cycle_count(graph).select("has_cycle", F.lit(None).cast("boolean").alias("is_dag"))
+    acyclic = is_dag(graph)
+    return graph.vertices.sparkSession.createDataFrame([(not acyclic, acyclic)], "has_cycle boolean, is_dag boolean")
+
+
 def cycle_count(graph: PropertyGraph) -> DataFrame:
     """One row: independent cycles of an undirected graph, m - n + c."""
     c = components(graph).agg(F.countDistinct("component").alias("c"))

@@ -164,7 +164,7 @@ def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.subgraph(g.vertices.where(F.col("brand") == first)).edges.select("src", "dst", "weight")
 
 
-@query(f"WITH {COPART}, two AS (SELECT src, dst, 2 * weight AS weight FROM edges WHERE weight > 2) SELECT src, dst, coalesce(two.weight, edges.weight) AS weight FROM edges LEFT JOIN two USING (src, dst)")
+@query(f"WITH {COPART} SELECT src, dst, CASE WHEN weight > 2 THEN 2 * weight ELSE weight END AS weight FROM edges")
 def merge_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' graph merged with its heavier edges at twice their weight, which win."""
     g = views.copart(spark, sf_dir)
@@ -237,6 +237,19 @@ def diameter_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.diameter(views.trade(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {TRADE}, {_ALL.replace('arcs', 'u')}, e AS (SELECT s, max(d) AS x, count(*) AS n FROM ap GROUP BY 1) SELECT max(x)::BIGINT AS diameter, min(x)::BIGINT AS radius FROM e HAVING min(n) = (SELECT count(*) FROM v)".replace("v AS (SELECT n_nationkey", "u AS (SELECT src, dst FROM arcs UNION SELECT dst, src FROM arcs), v AS (SELECT n_nationkey"))
+def diameter_radius_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest and least eccentricity of trade without directions."""
+    return structure.diameter(views.trade(spark, sf_dir).undirected())
+
+
+@query(f"WITH RECURSIVE {CITES}, {_BFS.format(start='(SELECT min(src) FROM arcs)')} SELECT id, d::DOUBLE AS distance FROM b WHERE id IS NOT NULL")
+def distances_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations to walk along from the first citing work to every work it reaches."""
+    g = views.cites(spark, sf_dir)
+    return paths.single_source(g, g.edges.agg(F.min("src")).first()[0], None).select("id", "distance")
+
+
 # centrality --------------------------------------------------------------------------------------
 
 
@@ -285,16 +298,37 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centrality.pagerank(views.trade(spark, sf_dir), fixed_rounds=20).select("id", _r("score"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CITES}, m AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM arcs), n AS (SELECT count(*) AS n FROM v), stuck AS (SELECT id FROM v WHERE id NOT IN (SELECT src FROM arcs)), x(it, id, s) AS (SELECT 0, id, 1.0::DOUBLE / n FROM v CROSS JOIN n UNION ALL SELECT it + 1, id, 0.85 * sum(g) + 0.15 / any_value(n) FROM (SELECT it, m.dst AS id, s * share AS g FROM x JOIN m ON m.src = x.id WHERE it < 20 UNION ALL SELECT it, x.id, coalesce(sum(CASE WHEN stuck.id IS NOT NULL THEN s END) OVER (), 0) / (SELECT n FROM n) FROM x LEFT JOIN stuck ON stuck.id = x.id WHERE it < 20) CROSS JOIN n GROUP BY it, id) SELECT id, round(s, 7) AS score FROM x WHERE it = 20")
 def pagerank_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PageRank of all works by citations, until it settles."""
-    return centrality.pagerank(views.cites(spark, sf_dir), weight=None).select("id", _r("score", 9))
+    """PageRank of all works by citations after twenty rounds."""
+    return centrality.pagerank(views.cites(spark, sf_dir), weight=None, fixed_rounds=20).select("id", _r("score", 7))
 
 
 @query()
+def pagerank_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank of all works by citations, until it settles."""
+    return centrality.pagerank(views.cites(spark, sf_dir), weight=None).select("id", _r("score", 7))
+
+
+@query(f"WITH RECURSIVE {CITES}, m AS (SELECT src, dst FROM arcs UNION ALL SELECT id, id FROM v), x(it, id, s) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT count(*) FROM v) FROM v UNION ALL SELECT it + 1, id, y / sqrt(sum(y * y) OVER ()) FROM (SELECT it, m.dst AS id, sum(s) AS y FROM x JOIN m ON m.src = x.id WHERE it < 10 GROUP BY 1, 2)) SELECT id, round(s, 6) AS score FROM x WHERE it = 10")
+def eigenvector_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvector scores of all works after ten rounds."""
+    return centrality.eigenvector(views.cites(spark, sf_dir), fixed_rounds=10).select("id", _r("score"))
+
+
+_NATIONS = f"WITH RECURSIVE {TRADE}, {_ALL}, {_SIGMA}, n AS (SELECT count(*) AS n FROM v), d AS (SELECT id, (SELECT count(*) FROM arcs WHERE dst = id) AS i, (SELECT count(*) FROM arcs WHERE src = id) AS o FROM v), t AS (SELECT x.v AS id, sum(x.c * y.c / z.c) AS b FROM sg x JOIN sg y ON x.v = y.s JOIN sg z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v GROUP BY 1), c AS (SELECT v AS id, sum(d) AS s, count(*) AS r FROM ap GROUP BY 1)"
+
+
+@query(_NATIONS + " SELECT 'degree' AS measure, id, round((i + o) / (n - 1)::DOUBLE, 6) AS score FROM d CROSS JOIN n UNION ALL SELECT 'in_degree', id, round(i / (n - 1)::DOUBLE, 6) FROM d CROSS JOIN n UNION ALL SELECT 'out_degree', id, round(o / (n - 1)::DOUBLE, 6) FROM d CROSS JOIN n UNION ALL SELECT 'betweenness', id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) FROM v LEFT JOIN t USING (id) CROSS JOIN n UNION ALL SELECT 'closeness', id, round(CASE WHEN s > 0 THEN (r - 1) / s * (r - 1) / (n - 1) ELSE 0 END, 6) FROM c CROSS JOIN n")
 def centrality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All measures of nations."""
-    return centrality.centrality_measures(views.trade(spark, sf_dir), ("degree", "betweenness", "closeness", "eigenvector", "pagerank")).select("measure", "id", _r("score"))
+    """Measures of nations that have one value however they are computed."""
+    return centrality.centrality_measures(views.trade(spark, sf_dir), ("degree", "betweenness", "closeness")).select("measure", "id", _r("score"))
+
+
+@query()
+def centrality_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of nations that are iterated until they settle."""
+    return centrality.centrality_measures(views.trade(spark, sf_dir), ("eigenvector", "pagerank")).select("measure", "id", _r("score"))
 
 
 # structure ---------------------------------------------------------------------------------------
@@ -320,7 +354,7 @@ def strongly_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame
     return structure.strong_components(views.trade(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {CITES}, {_ALL} SELECT x.s AS id, min(x.v) AS component FROM ap x JOIN ap y ON x.s = y.v AND x.v = y.s GROUP BY 1")
 def strong_components_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong component of every work."""
     return structure.strong_components(views.cites(spark, sf_dir))
@@ -381,6 +415,14 @@ def cycles_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.cycles(views.trade(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {TRADE}, {_ALL}, x AS (SELECT count(*) > 0 AS c FROM ap x JOIN ap y ON x.s = y.v AND x.v = y.s WHERE x.s <> x.v) SELECT 'trade' AS graph, c AS has_cycle, NOT c AS is_dag FROM x UNION ALL SELECT 'geography', false, true")
+def cycle_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether trade and geography have cycles."""
+    flags = [(name, structure.cycle_flags(g)) for name, g in (("trade", views.trade(spark, sf_dir)), ("geography", views.geography(spark, sf_dir)))]
+    parts = [f.select(F.lit(name).alias("graph"), "has_cycle", "is_dag") for name, f in flags]
+    return parts[0].unionByName(parts[1])
+
+
 # optimisation ------------------------------------------------------------------------------------
 
 
@@ -390,6 +432,21 @@ def minimum_spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimise.spanning_forest(views.copart(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {COPART}, t AS (SELECT DISTINCT weight AS t FROM edges UNION SELECT 0), cc(t, id, c) USING KEY (t, id) AS (SELECT t, id, id FROM t CROSS JOIN v UNION SELECT cc.t, a.dst, min(cc.c) FROM cc JOIN arcs a ON a.src = cc.id AND a.weight <= cc.t JOIN recurring.cc k ON k.t = cc.t AND k.id = a.dst WHERE cc.c < k.c GROUP BY 1, 2), n AS (SELECT t, count(DISTINCT c) AS c FROM cc GROUP BY 1), s AS (SELECT t, lag(c) OVER (ORDER BY t) - c AS taken FROM n) SELECT sum(taken)::BIGINT AS edges, sum(t * taken)::DOUBLE AS weight FROM s")
+def spanning_forest_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and weight of the lightest forest over parts; in SQL from the components below each weight."""
+    return optimise.spanning_forest(views.copart(spark, sf_dir)).agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
+
+
+_FLAT = "e AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight, src, dst) AS k FROM (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight FROM arcs GROUP BY 1, 2))"
+
+
+@query(f"WITH RECURSIVE {TRADE}, {_FLAT}, u AS (SELECT src, dst, k FROM e UNION ALL SELECT dst, src, k FROM e), r AS (SELECT k, src AS id FROM e UNION SELECT r.k, u.dst FROM r JOIN u ON u.src = r.id AND u.k < r.k) SELECT src, dst, weight FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = e.k AND r.id = e.dst)")
+def spanning_tree_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lightest tree over nations; in SQL the edges whose ends no lighter edges join."""
+    return optimise.spanning_forest(views.trade(spark, sf_dir).undirected()).select("src", "dst", "weight")
+
+
 @query()
 def maximum_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow from the first nation that sells to the last one it reaches, edge by edge."""
@@ -397,7 +454,27 @@ def maximum_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimise.maximum_flow(g, *_ends(g))[1]
 
 
-@query()
+_REGIONS = f"WITH {TRADE}, ra AS (SELECT a.n_regionkey AS src, b.n_regionkey AS dst, sum(weight) AS c FROM arcs JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2), ends AS (SELECT min(r_regionkey) AS s, max(r_regionkey) AS t FROM region)"
+
+
+@query(_REGIONS + ", cuts AS (SELECT m FROM generate_series(0, 31) g(m) CROSS JOIN ends WHERE (m >> s::INTEGER) & 1 = 1 AND (m >> t::INTEGER) & 1 = 0) SELECT min(c)::DOUBLE AS flow_value FROM (SELECT m, coalesce(sum(c) FILTER ((m >> src::INTEGER) & 1 = 1 AND (m >> dst::INTEGER) & 1 = 0), 0) AS c FROM cuts CROSS JOIN ra GROUP BY 1)")
+def maximum_flow_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow from the first region to the last through trade; in SQL the least cut."""
+    g = views.regions(spark, sf_dir)
+    ends = g.vertices.agg(F.min("id"), F.max("id")).first()
+    return spark.createDataFrame([(float(optimise.maximum_flow(g, ends[0], ends[1])[0]),)], "flow_value double")
+
+
+@query(_REGIONS + ", e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(c) AS w FROM ra GROUP BY 1, 2), m AS (SELECT 1 AS size, w AS weight FROM e UNION ALL SELECT 2, x.w + y.w FROM e x JOIN e y ON x.a < y.a AND x.b NOT IN (y.a, y.b) AND x.a <> y.b) SELECT size::BIGINT AS size, weight::DOUBLE AS weight FROM m ORDER BY size DESC, weight DESC LIMIT 1")
+def maximum_matching_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and weight of the best matching of regions; in SQL over all matchings."""
+    return optimise.maximum_matching(views.regions(spark, sf_dir)).agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("weight"))
+
+
+_ORDER = "o AS (SELECT id, row_number() OVER (ORDER BY count(src) DESC, id) AS k FROM v LEFT JOIN arcs ON src = id GROUP BY id), w AS (SELECT x.k, y.k AS before FROM arcs JOIN o x ON x.id = src JOIN o y ON y.id = dst WHERE y.k < x.k)"
+
+
+@query(f"WITH RECURSIVE {COPART}, {_ORDER}, c(k, colour) USING KEY (k) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT n.k, coalesce(min(f.free), 0) FROM (SELECT c.k + 1 AS k FROM c WHERE c.k < (SELECT max(k) FROM o)) n LEFT JOIN (SELECT w.k, q.f AS free FROM (SELECT k + 1 AS k FROM c) p JOIN (SELECT DISTINCT k FROM w) w ON w.k = p.k CROSS JOIN generate_series(0, 60) q(f) WHERE NOT EXISTS (SELECT 1 FROM recurring.c r JOIN w x ON x.before = r.k WHERE x.k = w.k AND r.colour = q.f)) f ON f.k = n.k GROUP BY 1) SELECT id, colour::INTEGER AS colour FROM c JOIN o ON o.k = c.k")
 def graph_coloring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy colouring of parts, largest degree first."""
     return optimise.colouring(views.copart(spark, sf_dir))
@@ -418,7 +495,7 @@ def maximum_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimise.maximum_matching(views.trade(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {COPART}, e AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS k FROM edges), m(k, src, dst, taken) USING KEY (k) AS (SELECT k, src, dst, true FROM e WHERE k = 1 UNION SELECT e.k, any_value(e.src), any_value(e.dst), count(r.k) = 0 FROM m JOIN e ON e.k = m.k + 1 LEFT JOIN recurring.m r ON r.taken AND (r.src IN (e.src, e.dst) OR r.dst IN (e.src, e.dst)) GROUP BY e.k) SELECT src, dst FROM m WHERE taken")
 def maximal_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy matching of parts."""
     return optimise.maximal_matching(views.copart(spark, sf_dir))

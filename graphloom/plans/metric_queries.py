@@ -104,7 +104,10 @@ def export_bibtex_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bib.bibtex(read(spark, sf_dir, "papers")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_BIB = " || ".join(f"CASE WHEN {c} <> '' THEN ',\n  {n} = {{{{' || {c} || '}}}}' ELSE '' END" for n, c in (("title", "title"), ("author", "author"), ("journal", "journal"), ("year", "year"), ("doi", "doi")))
+
+
+@query(f"WITH q AS (SELECT id, title, array_to_string(authors, ' and ') AS author, journal, year::VARCHAR AS year, doi, coalesce(citations, 0)::VARCHAR AS n FROM papers WHERE id IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY title NULLS FIRST, author NULLS FIRST, journal NULLS FIRST, year NULLS FIRST, doi NULLS FIRST, n) AS k FROM q) SELECT translate(id, '/.', '__') AS key, '@article{{' || translate(id, '/.', '__') || {_BIB.format()} || ',\n  note = {{Citations: ' || n || '}}\n}}' AS entry FROM p WHERE k = 1")
 def export_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BibTeX entries of all papers."""
     return bib.bibtex(read(spark, sf_dir, "papers"))
@@ -174,7 +177,40 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deliveries.tumbling_counts(events).select(F.to_date("start").alias("day"), "event_type", "n")
 
 
-@query()
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM s GROUP BY user_id, k")
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users: the batch form of the streaming windows."""
-    return deliveries.sessions(read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")))
+    found = deliveries.sessions(read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")))
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT date_trunc('hour', ts) + INTERVAL 15 MINUTE * q AS start, count(*) AS n FROM (SELECT ts, unnest(generate_series(-3, 3)) AS q FROM events) WHERE ts >= date_trunc('hour', ts) + INTERVAL 15 MINUTE * q AND ts < date_trunc('hour', ts) + INTERVAL 15 MINUTE * q + INTERVAL 1 HOUR GROUP BY 1")
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every hour that begins at a quarter: the batch form of the sliding windows."""
+    found = deliveries.sliding_counts(read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(f"WITH {_RUNS} SELECT event_id, c AS conclusion, t AS created_at FROM r ORDER BY t DESC, event_id LIMIT 5")
+def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five latest runs."""
+    return delivery.recent_runs(views.runs(spark, sf_dir), "event_id").select("event_id", "conclusion", "created_at")
+
+
+@query(f"WITH {_RUNS}, o AS (SELECT user_id, c, name, t FROM r WHERE user_id = (SELECT min(user_id) FROM events)) SELECT count(*) AS total_jobs, count(*) FILTER (c = 'failure') AS failed_jobs, CASE WHEN count(*) FILTER (c = 'failure') > 0 THEN 'failure' WHEN count(*) FILTER (c = 'cancelled') > 0 THEN 'cancelled' WHEN count(c) > 0 THEN 'success' END AS conclusion, min(t) AS created_at, max(t) AS updated_at FROM o")
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of one run: the events of the first user as its jobs."""
+    runs = views.runs(spark, sf_dir)
+    return delivery.run_status(runs, runs.agg(F.min("user_id")).first()[0], "user_id").withColumn("failed_jobs", F.size("failed_jobs").cast("bigint"))
+
+
+@query(f"WITH {_RUNS}, l AS (SELECT * FROM r ORDER BY t DESC, c NULLS FIRST LIMIT 20) SELECT 100.0::DOUBLE * count(*) FILTER (c IN ('failure', 'cancelled')) / count(*) AS percent FROM l")
+def change_failure_rate_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the last twenty runs that failed or were cancelled."""
+    return delivery.change_failure_rate(views.runs(spark, sf_dir))
+
+
+@query("SELECT round(avg(s) / 3600, 4) AS hours FROM (SELECT (epoch_us(m) - epoch_us(o_orderdate)) / 1e6::DOUBLE AS s FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS m FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey ORDER BY m DESC, o_orderdate DESC LIMIT 20)")
+def lead_time_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean hours to the last shipment of the twenty orders shipped last."""
+    return delivery.lead_time(views.changes(spark, sf_dir)).select(F.round("hours", 4).alias("hours"))

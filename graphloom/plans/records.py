@@ -11,6 +11,7 @@ from graphloom.functions.text import DOI_PATTERN, doi, doi_registrant, doi_suffi
 from graphloom.operators.nested import WORK, WORK_CHILDREN, FlatTables
 from graphloom.operators.orphans import orphan_references, orphan_report
 from graphloom.session import read
+from graphloom.sources.graph_io import publication_year
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> FlatTables:
@@ -37,6 +38,21 @@ def p1_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).table("reference", "key string, DOI string, year string").select("record_id", "pos", "key", F.col("DOI").alias("cited_doi"), "year")
 
 
+def p1_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affiliations, tied to their author."""
+    return _flat(spark, sf_dir).table("affiliation", "name string").select("record_id", "parent_pk", "pos", "sub_pos", F.coalesce("name", "value").alias("name"))
+
+
+def p1_container_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal titles, tied to their work."""
+    return _flat(spark, sf_dir).table("container_title", "name string").select("record_id", "parent_pk", "pos", "value")
+
+
+def p1_date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the print dates, tied to their work."""
+    return _flat(spark, sf_dir).table("date_part", "name string").select("record_id", "parent_pk", "pos", "sub_pos", F.col("value").cast("bigint").alias("value"))
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cited DOI of both tables, with a composite key of registrant and suffix."""
     works = read(spark, sf_dir, "crossref_works").select("record_id", "fetched_at", F.col("message.reference.DOI").alias("cited"))
@@ -68,7 +84,16 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p4_found(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_works, p1_authors, p1_references, p4_found, p4_report)}
+def p4_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited works by DOI and year, either of which may be null, that no held work matches on what is
+    given."""
+    works = read(spark, sf_dir, "crossref_works").select("record_id", "fetched_at", F.transform("message.reference", lambda r: F.named_struct(F.lit("doi"), doi(r["DOI"]), F.lit("year"), r["year"].try_cast("int"))).alias("cited"), once(doi("message.DOI")).alias("own"), publication_year(F.col("message")).alias("own_year"))
+    refs = works.select("record_id", F.posexplode("cited").alias("pos", "c"), F.col("fetched_at").alias("time")).select("record_id", "pos", "c.doi", "c.year", "time")
+    held = works.select(F.col("own").alias("doi"), F.col("own_year").alias("year"), F.col("fetched_at").alias("held"), F.lit(None).cast("timestamp_ntz").alias("gone"))
+    return orphan_references(refs, held, ["doi", "year"], "time", "held", "gone", match="partial").select("record_id", "pos", "doi", "year", "reason")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_works, p1_authors, p1_references, p1_affiliations, p1_container_titles, p1_date_parts, p4_found, p4_report, p4_partial)}
 
 _WORKS = """
 WITH parsed AS (SELECT record_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM raw_works),
@@ -122,6 +147,15 @@ UNION ALL SELECT record_id, 'date_part', d_i::INTEGER, i::INTEGER FROM d""",
     "p1_works": _WORKS + " SELECT record_id, w->>'$.DOI' AS \"DOI\", w->>'$.type' AS type, (w->>'$.\"is-referenced-by-count\"')::BIGINT AS citations FROM m",
     "p1_authors": _CHILDREN + " SELECT record_id, i::INTEGER AS pos, e->>'$.given' AS given, e->>'$.family' AS family, e->>'$.sequence' AS sequence FROM a",
     "p1_references": _CHILDREN + " SELECT record_id, i::INTEGER AS pos, e->>'$.key' AS key, e->>'$.DOI' AS cited_doi, e->>'$.year' AS year FROM r",
+    "p1_affiliations": _CHILDREN + " SELECT record_id, record_id || '/author/' || a_i AS parent_pk, a_i::INTEGER AS pos, i::INTEGER AS sub_pos, CASE json_type(e) WHEN 'VARCHAR' THEN e->>'$' ELSE e->>'$.name' END AS name FROM f",
+    "p1_container_titles": _CHILDREN + " SELECT record_id, record_id::VARCHAR AS parent_pk, i::INTEGER AS pos, e->>'$' AS value FROM t",
+    "p1_date_parts": _CHILDREN + " SELECT record_id, record_id::VARCHAR AS parent_pk, d_i::INTEGER AS pos, i::INTEGER AS sub_pos, (e->>'$')::BIGINT AS value FROM d",
+    "p4_partial": f"""
+WITH c AS (SELECT record_id, (generate_subscripts(message."reference", 1) - 1)::INTEGER AS pos, unnest(message."reference") AS r, fetched_at AS t FROM crossref_works),
+k AS (SELECT record_id, pos, {_DOI.format("r.DOI")} AS doi, try_cast(r.year AS INTEGER) AS year, t FROM c),
+h AS (SELECT {_DOI.format("message.DOI")} AS doi, coalesce(message."published-print"."date-parts"[1][1], message."published-online"."date-parts"[1][1]) AS year, fetched_at AS t FROM crossref_works),
+m AS (SELECT k.record_id, k.pos, k.doi, k.year, k.t, CASE WHEN k.doi IS NOT NULL AND k.year IS NOT NULL THEN (SELECT min(t) FROM h WHERE h.doi = k.doi AND h.year = k.year) WHEN k.doi IS NOT NULL THEN (SELECT min(t) FROM h WHERE h.doi = k.doi) ELSE (SELECT min(t) FROM h WHERE h.year = k.year) END AS held FROM k WHERE k.doi IS NOT NULL OR k.year IS NOT NULL)
+SELECT record_id, pos, doi, year, CASE WHEN held IS NULL THEN 'missing' ELSE 'late' END AS reason FROM m WHERE held IS NULL OR held > t""",
     "p4_found": _P4 + "SELECT * FROM p4 WHERE reason IS NOT NULL",
     "p4_report": _P4 + "SELECT tbl, period, reason, count(*) AS n FROM p4 WHERE reason IS NOT NULL GROUP BY ALL",
 }

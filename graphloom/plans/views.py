@@ -26,6 +26,14 @@ def trade(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(nations, cut(above.withColumn("capacity", F.col("weight"))), True)
 
 
+def regions(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Regions; an edge from one to another with the trade of their nations as weight and capacity."""
+    key = lambda a, b: read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(a), F.col("n_regionkey").alias(b))
+    arcs = trade(spark, sf_dir).edges.select(F.col("src").alias("f"), F.col("dst").alias("t"), "weight").join(key("f", "src"), "f").join(key("t", "dst"), "t").where("src <> dst")
+    sums = arcs.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return PropertyGraph(read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id")), cut(sums.withColumn("capacity", F.col("weight"))), True)
+
+
 def copart(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Parts; an edge between parts that share at least two orders, weighted by their number."""
     held = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()

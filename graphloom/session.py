@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,14 @@ def cut_step(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles, broadcasts and (where the session says so) checkpoints that
+    nothing refers to any more; it learns of them only when the driver collects its garbage, which a
+    query of many short jobs may not do until the driver's memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that one query writes and reads again."""
     _SCRATCH.append(f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}")
