@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import LIMITS, ResourceLimitError
 from graphloom.graphs.model import PropertyGraph
+from graphloom.operators.matching import heaviest_matching
 from graphloom.operators.components import component_labels
 from graphloom.session import cut
 
@@ -273,255 +274,22 @@ def greedy_colouring(nodes: list, links: list, directed: bool, strategy: str, se
 def maximum_matching(nodes: list, links: list, directed: bool) -> Iterator[tuple]:
     """(src, dst, weight) of a matching of greatest size and, among these, of greatest weight.
 
-    Blossoms by primal-dual search (Edmonds; Galil 1986). Weights are made dominated by the size:
-    each edge gets a bonus larger than all weights together.
+    Weights are made dominated by the size: each edge gets a bonus larger than all weights together.
     """
     index = {v: i for i, v in enumerate(nodes)}
     seen: dict = {}
     for a, b, w in links:
         if a != b:
             seen[min(index[a], index[b]), max(index[a], index[b])] = 1.0 if w is None or w != w else float(w)
-    edges = [(i, j, w) for (i, j), w in sorted(seen.items())]
-    if not edges:
+    if not seen:
         return
-    bonus = 1 + sum(abs(w) for *_, w in edges)
-    mate = _weighted_matching(len(nodes), [(i, j, w + bonus) for i, j, w in edges])
-    for i, j, w in edges:
+    bonus = 1 + sum(abs(w) for w in seen.values())
+    mate = heaviest_matching(len(nodes), {e: w + bonus for e, w in seen.items()})
+    for (i, j), w in sorted(seen.items()):
         if mate[i] == j:
             yield nodes[i], nodes[j], w
 
 
-def _weighted_matching(n: int, edges: list[tuple[int, int, float]]) -> list[int]:
-    """Mates of a maximum-weight matching: O(n^3) search over the dual with shrunken blossoms.
-
-    Vertices 1..n, blossoms above; ``owner`` is the outermost blossom of a vertex. Weights are
-    doubled so that duals of integer weights stay whole.
-    """
-    size = 2 * n + 2
-    weight: list[dict[int, tuple[int, int, float]]] = [dict() for _ in range(size)]
-    for i, j, w in edges:
-        weight[i + 1][j + 1] = (i + 1, j + 1, 2 * w)
-        weight[j + 1][i + 1] = (j + 1, i + 1, 2 * w)
-    top = max(w for *_, w in edges)  # duals start so that no edge is tight but the heaviest
-    dual = [0.0] * size
-    match, slack, owner, link = [0] * size, [0] * size, list(range(size)), [0] * size
-    label, seen_at = [-1] * size, [0] * size
-    entry = [0] * size  # the vertex at which a labelled blossom was entered
-    flower: list[list[int]] = [[] for _ in range(size)]
-    inside: list[dict[int, int]] = [dict() for _ in range(size)]
-    for v in range(1, n + 1):
-        dual[v] = top
-        inside[v][v] = v
-    count, clock = n, 0
-    queue: deque[int] = deque()
-    eps = 1e-9
-
-    def reduced(u: int, v: int) -> float:
-        a, b, w = weight[u][v]
-        return dual[a] + dual[b] - weight[a][b][2]
-
-    def offer(u: int, x: int) -> None:
-        if x in weight[u] and (not slack[x] or reduced(u, x) < reduced(slack[x], x)):
-            slack[x] = u
-
-    def refresh(x: int) -> None:
-        slack[x] = 0
-        for u in range(1, n + 1):
-            if x in weight[u] and owner[u] != x and label[owner[u]] == 0:
-                offer(u, x)
-
-    def push(x: int) -> None:
-        if x <= n:
-            queue.append(x)
-        else:
-            for y in flower[x]:
-                push(y)
-
-    def own(x: int, b: int) -> None:
-        owner[x] = b
-        if x > n:
-            for y in flower[x]:
-                own(y, b)
-
-    def position(b: int, x: int) -> int:
-        k = flower[b].index(x)
-        if k % 2:
-            flower[b][1:] = flower[b][:0:-1]
-            return len(flower[b]) - k
-        return k
-
-    def pair(u: int, v: int) -> None:
-        a, b, _ = weight[u][v]
-        match[u] = b
-        if u > n:
-            x = inside[u][a]
-            k = position(u, x)
-            for i in range(k):
-                pair(flower[u][i], flower[u][i ^ 1])
-            pair(x, v)
-            flower[u] = flower[u][k:] + flower[u][:k]
-
-    def augment(u: int, v: int) -> None:
-        while True:
-            nxt = owner[match[u]]
-            pair(u, v)
-            if not nxt:
-                return
-            pair(nxt, owner[link[nxt]])
-            u, v = owner[link[nxt]], nxt
-
-    def meeting(u: int, v: int) -> int:
-        nonlocal clock
-        clock += 1
-        while u or v:
-            if u:
-                if seen_at[u] == clock:
-                    return u
-                seen_at[u] = clock
-                u = owner[match[u]]
-                if u:
-                    u = owner[link[u]]
-            u, v = v, u
-        return 0
-
-    def shrink(u: int, base: int, v: int) -> None:
-        nonlocal count
-        b = next((k for k in range(n + 1, count + 1) if owner[k] == 0 and not flower[k]), 0)
-        if not b:
-            count += 1
-            b = count
-        dual[b], label[b] = 0.0, 0
-        match[b] = match[base]
-        ring = [base]
-        x = u
-        while x != base:
-            y = owner[match[x]]
-            ring += [x, y]
-            push(y)
-            x = owner[link[y]]
-        ring[1:] = ring[:0:-1]
-        x = v
-        while x != base:
-            y = owner[match[x]]
-            ring += [x, y]
-            push(y)
-            x = owner[link[y]]
-        flower[b] = ring
-        own(b, b)
-        weight[b] = {}
-        for k in range(1, count + 1):
-            weight[k].pop(b, None)
-        inside[b] = {}
-        for x in ring:
-            for y, e in weight[x].items():
-                if y == b:
-                    continue
-                if y not in weight[b] or reduced(x, y) < reduced(b, y):
-                    weight[b][y] = e
-                    weight[y][b] = (e[1], e[0], e[2])
-            for leaf in inside[x]:
-                inside[b][leaf] = x
-        refresh(b)
-
-    def expand(b: int) -> None:
-        for x in flower[b]:
-            own(x, x)
-        x = inside[b][entry[b]]
-        k = position(b, x)
-        for i in range(0, k, 2):
-            a, c = flower[b][i], flower[b][i + 1]
-            link[a], entry[a] = weight[c][a][0], weight[c][a][1]
-            label[a], label[c] = 1, 0
-            slack[a] = 0
-            refresh(c)
-            push(c)
-        label[x], link[x], entry[x] = 1, link[b], entry[b]
-        for i in range(k + 1, len(flower[b])):
-            y = flower[b][i]
-            label[y] = -1
-            refresh(y)
-        owner[b], flower[b] = 0, []
-
-    def found(u: int, v: int) -> bool:
-        a, b, _ = weight[u][v]
-        x, y = owner[a], owner[b]
-        if label[y] == -1:
-            link[y], label[y], entry[y] = a, 1, b
-            z = owner[match[y]]
-            slack[y] = slack[z] = 0
-            label[z] = 0
-            push(z)
-        elif label[y] == 0:
-            base = meeting(x, y)
-            if not base:
-                augment(x, y)
-                augment(y, x)
-                return True
-            shrink(x, base, y)
-        return False
-
-    def phase() -> bool:
-        for x in range(1, count + 1):
-            label[x], slack[x] = -1, 0
-        queue.clear()
-        for x in range(1, count + 1):
-            if owner[x] == x and not match[x]:
-                link[x], label[x] = 0, 0
-                push(x)
-        if not queue:
-            return False
-        while True:
-            while queue:
-                u = queue.popleft()
-                if label[owner[u]] == 1:
-                    continue
-                for v in list(weight[u]):
-                    if v <= n and owner[u] != owner[v]:
-                        if reduced(u, v) <= eps:
-                            if found(u, v):
-                                return True
-                        else:
-                            offer(u, owner[v])
-            step = math.inf
-            for b in range(n + 1, count + 1):
-                if owner[b] == b and label[b] == 1:
-                    step = min(step, dual[b] / 2)
-            for x in range(1, count + 1):
-                if owner[x] == x and slack[x]:
-                    if label[x] == -1:
-                        step = min(step, reduced(slack[x], x))
-                    elif label[x] == 0:
-                        step = min(step, reduced(slack[x], x) / 2)
-            for u in range(1, n + 1):
-                if label[owner[u]] == 0 and dual[u] <= step + eps:
-                    return False
-            for u in range(1, n + 1):
-                if label[owner[u]] == 0:
-                    dual[u] -= step
-                elif label[owner[u]] == 1:
-                    dual[u] += step
-            for b in range(n + 1, count + 1):
-                if owner[b] == b:
-                    if label[b] == 0:
-                        dual[b] += 2 * step
-                    elif label[b] == 1:
-                        dual[b] -= 2 * step
-            queue.clear()
-            for x in range(1, count + 1):
-                if owner[x] == x and slack[x] and owner[slack[x]] != x and reduced(slack[x], x) <= eps and found(slack[x], x):
-                    return True
-            for b in range(n + 1, count + 1):
-                if owner[b] == b and label[b] == 1 and dual[b] <= eps:
-                    expand(b)
-
-    owner[0] = 0
-    for x in range(n + 1, size):
-        owner[x] = 0
-    while phase():
-        pass
-    return [match[v] - 1 for v in range(1, n + 1)]
-
-
 @kernel
 def louvain(nodes: list, links: list, directed: bool, total: float, resolution: float) -> Iterator[tuple]:
     """(id, community): vertices move, in order, to the neighbouring community of greatest gain;

@@ -11,7 +11,7 @@ from graphloom.engine import Engine
 from graphloom.errors import AlgorithmError, GraphAlreadyExistsError, GraphNotFoundError, GraphOperationError, NodeNotFoundError, ValidationError, graph_name
 from graphloom.graphs.model import PropertyGraph
 from graphloom.operators import centrality, community, optimise, paths, structure
-from graphloom.operators.kernels import _weighted_matching
+from graphloom.operators.matching import heaviest_matching
 from graphloom.sources import graph_io
 
 
@@ -159,23 +159,22 @@ def test_random_graphs_against_brute_force(spark):
     assert sorted((r["src"], r["dst"]) for r in optimise.maximal_matching(g).collect()) == taken
 
 
-def test_blossom_against_enumeration():
+def test_matching_against_enumeration():
     rnd = random.Random(2)
-    for _ in range(150):
-        n = rnd.randrange(2, 8)
-        edges = [(a, b, rnd.randrange(1, 10)) for a, b in itertools.combinations(range(n), 2) if rnd.random() < 0.6]
-        if not edges:
-            continue
-        best = (0, 0)
-        for k in range(1 << len(edges)):
-            chosen = [e for i, e in enumerate(edges) if k >> i & 1]
-            ends = [v for a, b, _ in chosen for v in (a, b)]
-            if len(ends) == len(set(ends)):
-                best = max(best, (len(chosen), sum(w for *_, w in chosen)))
-        bonus = 1 + sum(w for *_, w in edges)
-        mate = _weighted_matching(n, [(a, b, w + bonus) for a, b, w in edges])
-        got = [w for a, b, w in edges if mate[a] == b]
-        assert (len(got), sum(got)) == best
+    for _ in range(400):
+        n = rnd.randrange(2, 9)
+        edges = {(a, b): rnd.randrange(1, 10) for a, b in itertools.combinations(range(n), 2) if rnd.random() < rnd.choice((0.35, 0.6))}
+        best = {0: (0, 0)}  # by the set of taken vertices
+        for (a, b), w in edges.items():
+            for taken, (size, weight) in list(best.items()):
+                if not taken >> a & 1 and not taken >> b & 1:
+                    key = taken | 1 << a | 1 << b
+                    best[key] = max(best.get(key, (0, 0)), (size + 1, weight + w))
+        for bonus, value in ((0, max(w for _, w in best.values())), (1 + sum(edges.values()), None)):
+            mate = heaviest_matching(n, {e: w + bonus for e, w in edges.items()})
+            assert all(m < 0 or mate[m] == v for v, m in enumerate(mate))
+            got = [w for (a, b), w in edges.items() if mate[a] == b]
+            assert (sum(got) == value) if value is not None else ((len(got), sum(got)) == max(best.values()))
 
 
 def test_editing_and_catalog(spark):
