@@ -8,44 +8,46 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.skew import skew_join
+from graphloom.operators.skew import hot_keys, skew_join
 from graphloom.session import cut
 
 #: Blocks of up to so many names have one pivot, larger ones about PIVOTS times the square root of
 #: their names.
-ONE_CELL = 256
+ONE_CELL = 2_000
 PIVOTS = 2
-_COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
+#: Further names of a block whose distances filter what meets in a cell.
+FILTERS = 4
+_LEAST = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 
 
 @contextmanager
 def spread(spark: SparkSession) -> Iterator[None]:
-    """Keep shuffle partitions apart in here: they are sized by their work, not by their bytes."""
-    before = spark.conf.get(_COALESCE)
-    spark.conf.set(_COALESCE, "false")
+    """Let small shuffle partitions be as many as there are cores: their work is large, not their bytes."""
+    before = spark.conf.get(_LEAST)
+    spark.conf.set(_LEAST, "64k")
     try:
         yield
     finally:
-        spark.conf.set(_COALESCE, before)
+        spark.conf.set(_LEAST, before)
 
 
-def _pivots(points: DataFrame, block: list[str]) -> DataFrame:
-    """(block, ``pivots``, ``second``, ``third``): names of each block chosen by a hash, at least one,
-    and two more whose distances only filter."""
-    spread = F.pmod(F.xxhash64("name"), F.lit(1 << 30)) / (1 << 30)
-    by = F.struct(F.xxhash64("name"), "name")
-    sizes = points.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.min_by("name", by).alias("first"), F.max_by("name", by).alias("second"), F.min("name").alias("third"))
+def _pivots(points: DataFrame, hot: list[tuple]) -> DataFrame:
+    """(``block``, ``pivots``, ``filters``): names of each block chosen by hashes, at least one pivot."""
+    spread_ = F.pmod(F.xxhash64("name"), F.lit(1 << 30)) / (1 << 30)
+    by = lambda k: F.struct(F.xxhash64("name", F.lit(k)), "name")
+    chosen = [F.min_by("name", by(k)) for k in range(FILTERS + 1)]
+    sizes = points.groupBy("block").agg(F.count(F.lit(1)).alias("n"), chosen[0].alias("first"), F.array(*chosen[1:]).alias("filters"))
     share = F.when(F.col("n") > ONE_CELL, PIVOTS / F.sqrt("n")).otherwise(0.0)
-    chosen = skew_join(points, sizes, block).where((spread < share) | (F.col("name") == F.col("first")))
-    return chosen.groupBy(*block).agg(F.collect_list("name").alias("pivots"), F.first("second").alias("second"), F.first("third").alias("third"))
+    kept = skew_join(points, sizes, ["block"], keys=hot).where((spread_ < share) | (F.col("name") == F.col("first")))
+    return kept.groupBy("block").agg(F.collect_list("name").alias("pivots"), F.first("filters").alias("filters"))
 
 
-def _placed(names: DataFrame, pivots: DataFrame, block: list[str]) -> DataFrame:
+def _placed(names: DataFrame, pivots: DataFrame, hot: list[tuple]) -> DataFrame:
     """Names with their distances ``near`` to all pivots of the block, ``home``, the nearest, and
-    ``e2`` and ``e3``, those to the two filters."""
+    ``e0``, ``e1``, … to the filters."""
     distances = F.transform("pivots", lambda p: F.struct(F.levenshtein(F.col("name"), p).alias("d"), p.alias("p")))
-    filters = [F.levenshtein("name", "second").alias("e2"), F.levenshtein("name", "third").alias("e3")]
-    return skew_join(names, pivots, block).select(*block, "name", F.explode(F.array(distances)).alias("near"), *filters).withColumn("home", F.array_min("near"))
+    filters = [F.levenshtein("name", F.col("filters")[k]).alias(f"e{k}") for k in range(FILTERS)]
+    return skew_join(names, pivots, ["block"], keys=hot).select("block", "name", "radius", F.explode(F.array(distances)).alias("near"), *filters).withColumn("home", F.array_min("near"))
 
 
 def one_exchange(a: Column, b: Column) -> Column:
@@ -57,45 +59,46 @@ def _exchanged(a: Column, i: Column) -> Column:
     return F.concat(F.left(a, i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2))
 
 
-def radius_pairs(points: DataFrame, block: list[str], radius: int, queries: DataFrame | None = None) -> DataFrame:
-    """(block, ``a``, ``b``, ``d``): every name ``a`` of ``queries`` and ``b`` of ``points`` (both
-    (block, ``name``), distinct) of one block within ``radius`` edits, a name and itself included. An
-    exchange of neighbouring letters counts as one edit.
+def radius_pairs(points: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(``block``, ``a``, ``b``, ``d``): every name ``a`` of ``queries`` and ``b`` of ``points`` of one
+    block within its ``radius`` of edits, a name and itself included.
+
+    Both sides are (``block``, ``name``, ``radius``), distinct; the radius is one of the block, up to
+    2. An exchange of neighbouring letters counts as one edit.
 
     The method is metric-space partitioning under the Levenshtein metric. Every block has pivots; a
     point is assigned to its nearest pivot p, and a query q is replicated to every pivot p with
     d(q, p) <= d(q, home of q) + 2 * radius: if d(q, b) <= radius for a point b of p then d(q, p) <=
     d(b, p) + radius <= d(b, home of q) + radius <= d(q, home of q) + 2 * radius by the triangle
     inequality, so no pair is lost. Inside a cell names meet only where |d(q, p) - d(b, p)| <= radius
-    (rings, an equi-join) and the distances to two further names agree as well; the distance itself
-    decides. An exchange is two Levenshtein edits: up to radius 1 the exchanged forms of a query are
-    looked up as they are, beyond it they lie within the radius.
-
-    All joins are equi-joins on (block, pivot, ring) over distinct names. Distances to pivots grow as
-    n ** 1.5 in a block of n names, pairs met inside cells about as n ** 1.6 (measured on family
-    names, whose metric space has a high dimension: a name lies near many pivots' borders). Rows are
-    few and short, the work on each is large, so partitions aren't coalesced here. The result is
-    materialised. Null names and blocks match nothing; an empty side gives no rows.
+    (rings, an equi-join) and the distances to FILTERS further names agree as well; the distance
+    itself decides. An exchange is two Levenshtein edits: at radius 1 the exchanged forms of a query
+    are looked up as they are, at radius 2 they lie within it.
+
+    All joins are equi-joins on (block, pivot, ring) over distinct names. Beyond ONE_CELL names in a
+    block, distances to pivots grow as n ** 1.5 and pairs met inside cells about as n ** 1.6
+    (measured on family names, whose metric space has a high dimension: a name lies near many
+    pivots' borders). Rows are few and short, the work on each is large, so partitions are coalesced
+    to as many as there are cores only. The result is materialised. Null names and blocks match
+    nothing; an empty side gives no rows.
     """
     with spread(points.sparkSession):
         points = cut(points.dropna())
-        asked = points if queries is None else cut(queries.dropna())
-        pivots = cut(_pivots(points, block))
-        targets = cut(_placed(points, pivots, block))
-        sources = targets if queries is None else cut(_placed(asked, pivots, block))
-        reach = F.filter("near", lambda q: q["d"] <= F.col("home.d") + 2 * radius)
-        tell = lambda x: [F.col("name").alias(x), *(F.col(e).alias(f"{e}_{x}") for e in ("e2", "e3"))]
-        cells = sources.select(*block, *tell("a"), F.explode(reach).alias("c")).select(*block, "a", "e2_a", "e3_a", F.col("c.p").alias("pivot"), F.explode(F.array(*(F.col("c.d") + k for k in range(-radius, radius + 1)))).alias("ring"))
-        homes = targets.select(*block, *tell("b"), F.col("home.p").alias("pivot"), F.col("home.d").alias("ring"))
-        met = cells.join(homes, [*block, "pivot", "ring"])
-        for x, y in (("e2_a", "e2_b"), ("e3_a", "e3_b")):
-            met = met.where(F.abs(F.col(x) - F.col(y)) <= radius)
-        met = met.where(F.abs(F.length("a") - F.length("b")) <= radius)
-        near = met.select(*block, "a", "b", F.levenshtein("a", "b", radius).alias("d")).where("d >= 0")
-        if radius > 1:
-            near = near.withColumn("d", F.when((F.col("d") == 2) & (F.length("a") == F.length("b")) & one_exchange(F.col("a"), F.col("b")), 1).otherwise(F.col("d")))
-        elif radius:
-            turned = asked.where(F.length("name") > 1).select(*block, F.col("name").alias("a"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: _exchanged(F.col("name"), i)))).alias("name")).where("a <> name")
-            swapped = turned.join(points, [*block, "name"]).where(F.levenshtein("a", "name") > 1)
-            near = near.unionByName(swapped.select(*block, "a", F.col("name").alias("b"), F.lit(1).alias("d")))
-        return cut(near)
+        asked = points if queries is None else queries.dropna()
+        hot = hot_keys(points, ["block"])
+        pivots = cut(_pivots(points, hot))
+        targets = cut(_placed(points, pivots, hot))
+        sources = targets if queries is None else _placed(asked, pivots, hot)
+        reach = F.filter("near", lambda q: q["d"] <= F.col("home.d") + 2 * F.col("radius"))
+        tell = lambda x: [F.col("name").alias(x), *(F.col(f"e{k}").alias(f"e{k}_{x}") for k in range(FILTERS))]
+        rings = F.explode(F.transform(F.sequence(-F.col("radius"), F.col("radius")), lambda k: F.col("c.d") + k)).alias("ring")
+        cells = sources.select("block", "radius", *tell("a"), F.explode(reach).alias("c")).withColumn("pivot", F.col("c.p")).select("*", rings).drop("c")
+        homes = targets.select("block", *tell("b"), F.col("home.p").alias("pivot"), F.col("home.d").alias("ring"))
+        met = cells.join(homes, ["block", "pivot", "ring"]).where(F.abs(F.length("a") - F.length("b")) <= F.col("radius"))
+        for k in range(FILTERS):
+            met = met.where(F.abs(F.col(f"e{k}_a") - F.col(f"e{k}_b")) <= F.col("radius"))
+        near = met.select("block", "radius", "a", "b", F.levenshtein("a", "b", 2).alias("d")).where((F.col("d") >= 0) & (F.col("d") <= F.col("radius")))
+        near = near.select("block", "a", "b", F.when((F.col("d") == 2) & (F.length("a") == F.length("b")) & one_exchange(F.col("a"), F.col("b")), 1).otherwise(F.col("d")).alias("d"))
+        turned = asked.where((F.length("name") > 1) & (F.col("radius") == 1)).select("block", F.col("name").alias("a"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: _exchanged(F.col("name"), i)))).alias("name")).where("a <> name")
+        swapped = turned.join(points.select("block", "name"), ["block", "name"]).where(F.levenshtein("a", "name") > 1)
+        return cut(near.unionByName(swapped.select("block", "a", F.col("name").alias("b"), F.lit(1).alias("d"))))

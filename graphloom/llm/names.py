@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from graphloom.llm.metric import radius_pairs
 from graphloom.operators.components import component_labels
 from graphloom.operators.skew import skew_join
-from graphloom.session import cut
+from graphloom.session import cut, release
 
 # Titles, particles, nicknames, words of institutions and their short forms.
 TITLES = frozenset("dr prof professor mr mrs ms sir dame rev phd md msc ba ma dsc jr sr ii iii".split())
@@ -276,7 +276,8 @@ def learn_nicknames(ways: DataFrame, known: dict[str, str]) -> dict[str, str]:
 
 def readings_of(forms: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     """A row for every way to read every form and every letter under which a matching rest is found:
-    ``id``, ``kind``, ``aff``, ``reading``, ``main``, ``rest``, ``first`` (name), ``letter``.
+    ``id``, ``kind``, ``aff``, ``reading``, ``main``, ``rest``, ``first`` (name), ``letter``, and the
+    blocks ``here`` and, for long main parts, ``named`` (null without an institution) and ``wide``.
 
     Two given names that match share the first letter, that of the name a nickname stands for, or the
     second letter, whatever single edit lies between them. A person without a given name matches
@@ -286,7 +287,16 @@ def readings_of(forms: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     person = F.col("kind") == "person"
     named = way.where(~person | (F.col("rest") != "")).withColumn("first", F.when(person, F.substring_index("rest", " ", 1)).otherwise(""))
     letters = F.array_distinct(F.filter(F.array(F.left("first", F.lit(1)), F.left(_spelt_out("first", nicknames), F.lit(1)), F.substr("first", F.lit(2), F.lit(1))), lambda c: c != ""))
-    return named.withColumn("letter", F.explode(F.when(person, letters).otherwise(F.array(F.lit("")))))
+    told = named.withColumn("letter", F.explode(F.when(person, letters).otherwise(F.array(F.lit("")))))
+    long = person & (F.length("main") >= LONG) & (F.length("first") > 1)
+    named = F.when(long, _block(F.lit("n"), "aff", _spelt_out("first", nicknames)))
+    return told.withColumn("here", _block(F.lit("h"), "kind", "aff", "letter")).withColumn("wide", _block(F.lit("w"), "kind", "letter")).withColumn("named", named)
+
+
+def _block(*parts: Column | str) -> Column:
+    """A number for a block; null if a part is."""
+    text = F.concat(*(x for p in parts for x in (F.lit("\x1f"), F.col(p) if isinstance(p, str) else p)))
+    return F.when(text.isNotNull(), F.xxhash64(text))
 
 
 def _spelt_out(c: str, nicknames: dict[str, str]) -> Column:
@@ -294,50 +304,57 @@ def _spelt_out(c: str, nicknames: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(c)), F.col(c)) if pairs else F.col(c)
 
 
-def _near_firsts(ways: DataFrame, nicknames: dict[str, str]) -> DataFrame:
-    """(``letter``, ``first_a``, ``first_b``): full first names that may match, a superset of those
-    that do; the empty one of organisations matches itself."""
-    firsts = cut(ways.select("letter", "first").distinct())
-    name = _spelt_out("first", nicknames)
-    points = cut(firsts.where((F.length("first") != 1)).select("letter", "first", F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, "(?<=[aou])e", "")))).alias("name")))
-    near = radius_pairs(points.select("letter", "name").distinct(), ["letter"], 1)
-    side = lambda x: points.select("letter", F.col("first").alias(f"first_{x}"), F.col("name").alias(x))
-    return cut(near.join(side("a"), ["letter", "a"]).join(side("b"), ["letter", "b"]).select("letter", "first_a", "first_b").distinct())
-
+def _near(ways: DataFrame, nicknames: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Near main parts (``block``, ``main_a``, ``main_b``, ``d``) in the blocks ``here``, ``named`` and
+    ``wide`` of ``ways``, and near full first names (``letter``, ``first_a``, ``first_b``), the empty
+    one of organisations included.
 
-def _near_mains(points: DataFrame, block: list[str], queries: DataFrame | None = None) -> DataFrame:
-    """Main parts within one edit, or equal ones if a part has up to three letters."""
-    return radius_pairs(points, block, 1, queries).where((F.col("d") == 0) | (F.least(F.length("a"), F.length("b")) > 3))
-
-
-def _two_apart(at: DataFrame, nicknames: dict[str, str]) -> DataFrame:
+    One radius join serves all. In the wide blocks only forms without an institution ask. Main parts
+    are near within one edit (if equal, where one has up to three letters), in the blocks ``named``
+    of one institution and first name within two.
+    """
+    firsts = cut(ways.where(F.length("first") != 1).select("letter", "first").distinct())
+    spelt = _spelt_out("first", nicknames)
+    known = cut(firsts.select("letter", "first", _block(F.lit("f"), "letter").alias("block"), F.explode(F.array_distinct(F.array(spelt, F.regexp_replace(spelt, "(?<=[aou])e", "")))).alias("name")))
+    mains = lambda df, c, r: df.where(F.col(c).isNotNull()).select(F.col(c).alias("block"), F.col("main").alias("name"), F.lit(r).alias("radius"))
+    both = mains(ways, "here", 1).unionByName(mains(ways, "named", 2)).unionByName(known.select("block", "name", F.lit(1).alias("radius")))
+    points = both.unionByName(mains(ways, "wide", 1)).distinct()
+    queries = both.unionByName(mains(ways.where(F.col("aff").isNull()), "wide", 1)).distinct()
+    near = radius_pairs(points, queries)
+    side = lambda x: known.select("block", "letter", F.col("first").alias(f"first_{x}"), F.col("name").alias(x))
+    near_firsts = near.join(side("a"), ["block", "a"]).join(side("b").drop("letter"), ["block", "b"]).select("letter", "first_a", "first_b").distinct()
+    near_mains = near.where((F.col("d") == 0) | (F.least(F.length("a"), F.length("b")) > 3))
+    return near_mains.select("block", F.col("a").alias("main_a"), F.col("b").alias("main_b"), "d"), cut(near_firsts)
+
+
+def _two_apart(at: DataFrame, mains: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     """Pairs of people of one institution and first name whose family names of LONG letters are two
     edits apart, graded if all their given names agree."""
-    block = ["aff", "name_of"]
-    long = at.where((F.col("kind") == "person") & (F.length("main") >= LONG) & (F.length("first") > 1)).withColumn("name_of", _spelt_out("first", nicknames)).drop("letter").distinct()
-    near = radius_pairs(long.select(*block, F.col("main").alias("name")).distinct(), block, 2).where("d = 2 AND a < b")
-    side = lambda x: long.select(*block, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "rest", "reading")), F.col("main").alias(x))
-    met = side("a").join(near, [*block, "a"]).join(side("b"), [*block, "b"]).where("id_a <> id_b AND (reading_a = 0 OR reading_b = 0)")
-    graded = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), _grader(nicknames)(F.lit("person"), "rest_a", "rest_b").alias("grade"))
+    side = lambda x: at.where(F.col("named").isNotNull()).select(F.col("named").alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "aff", "rest", "reading", "main"))).distinct()
+    met = side("a").join(mains.where("d = 2"), ["block", "main_a"]).join(side("b"), ["block", "main_b"]).where("id_a < id_b AND aff_a = aff_b AND (reading_a = 0 OR reading_b = 0)")
+    graded = met.select("id_a", "id_b", "rest_a", "rest_b").distinct().select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), _grader(nicknames)(F.lit("person"), "rest_a", "rest_b").alias("grade"))
     return graded.where("grade = 2").distinct()
 
 
-def _graded(a: DataFrame, b: DataFrame, near: DataFrame, firsts: DataFrame, block: list[str], ordered: bool, nicknames: dict[str, str]) -> DataFrame:
+def _graded(a: DataFrame, b: DataFrame, near: tuple[DataFrame, DataFrame], block: str, ordered: bool, nicknames: dict[str, str]) -> DataFrame:
     """Graded pairs (``a``, ``b``, ``grade`` > 0) of forms whose main parts and first names are near;
     one side reads the name as typed.
 
     Full first names meet by the pairs of near ones, so forms that share a family name only don't;
     an initial meets every form with its letter, of which it matches most.
     """
-    side = lambda df, x: df.select(*block, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "main", "rest", "first", "reading")))
+    mains, firsts = near
+    side = lambda df, x: df.select(F.col(block).alias("block"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "kind", "aff", "letter", "main", "rest", "first", "reading")))
     apart = F.col("id_a") < F.col("id_b") if ordered else F.col("id_a") != F.col("id_b")
-    mains = near.select(*block, F.col("a").alias("main_a"), F.col("b").alias("main_b"))
-    left, right = side(a, "a").join(mains, [*block, "main_a"]), side(b, "b")
+    left = side(a, "a").withColumnRenamed("letter_a", "letter").join(mains.drop("d"), ["block", "main_a"])
+    right = side(b, "b")
     short = lambda x: F.length(f"first_{x}") == 1
-    full = left.where(~short("a")).join(firsts, ["letter", "first_a"]).join(right.where(~short("b")), [*block, "main_b", "first_b"])
-    initial = left.where(short("a")).join(right, [*block, "main_b"]).unionByName(left.where(~short("a")).join(right.where(short("b")), [*block, "main_b"]))
-    met = full.unionByName(initial).where(apart & ((F.col("reading_a") == TYPED) | (F.col("reading_b") == TYPED))).select("kind", "id_a", "id_b", "rest_a", "rest_b").distinct()
-    graded = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), _grader(nicknames)("kind", "rest_a", "rest_b").alias("grade"))
+    full = left.where(~short("a")).join(firsts, ["letter", "first_a"]).join(right.where(~short("b")), ["block", "main_b", "first_b"])
+    initial = left.join(right, ["block", "main_b"]).where(short("a") | short("b"))
+    same = (F.col("kind_a") == F.col("kind_b")) & (F.col("letter") == F.col("letter_b"))  # blocks are hashes
+    same &= (F.col("aff_a") == F.col("aff_b")) if block == "here" else F.lit(True)
+    met = full.unionByName(initial).where(same & apart & ((F.col("reading_a") == TYPED) | (F.col("reading_b") == TYPED)))
+    graded = met.select(F.col("kind_a").alias("kind"), "id_a", "id_b", "rest_a", "rest_b").distinct().select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), _grader(nicknames)("kind", "rest_a", "rest_b").alias("grade"))
     return graded.where("grade > 0").groupBy("a", "b").agg(F.max("grade").alias("grade"))
 
 
@@ -373,34 +390,36 @@ def entities(authors: DataFrame, nicknames: dict[str, str] | None = None) -> Dat
     Null or blank names give no row; a null number gives no row; repeated rows fall together; extra
     columns are ignored; an empty table gives no rows.
     """
+    spark = authors.sparkSession
     rows = authors.where(F.col("author_no").isNotNull()).select(F.col("author_no").cast("bigint").alias("author_no"), "given", "family", "name", "affiliation").mapInPandas(_reader, _FORM)
     read = cut(rows)
     forms = cut(read.groupBy("form").agg(F.min("author_no").alias("id"), F.first("kind").alias("kind"), F.first("aff").alias("aff"), F.first("full").alias("full"), F.first("ways").alias("ways")))
-    plain = readings_of(forms, {}).drop("letter").distinct()
+    plain = readings_of(forms, {}).drop("letter", "here", "wide", "named").distinct()
     nick = learn_nicknames(plain, NICKNAMES if nicknames is None else nicknames)
     ways = cut(readings_of(forms, nick))
-    firsts = _near_firsts(ways, nick)
+    near = _near(ways, nick)
+    release(spark)
     placed, unplaced = forms.where(F.col("aff").isNotNull()), forms.where(F.col("aff").isNull())
     at, nowhere = ways.where(F.col("aff").isNotNull()), ways.where(F.col("aff").isNull())
-    here, anywhere = ["kind", "aff", "letter"], ["kind", "letter"]
-    near_here = _near_mains(at.select(*here, F.col("main").alias("name")).distinct(), here)
-    ties = cut(_graded(at, at, near_here, firsts, here, True, nick).unionByName(_two_apart(at, nick)))
+    ties = cut(_graded(at, at, near, "here", True, nick).unionByName(_two_apart(at, near[0], nick)))
+    release(spark)
     full = placed.where("full").select("id")
     by_full = cut(_grouped(full, ties.where("grade = 2")))
 
     initial = placed.where(~F.col("full"))
     joined = cut(_attach(initial, _both(ties), by_full))
-    left = initial.select("id").join(joined, "id", "left_anti")
-    loose_ties = ties.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
+    left = cut(initial.select("id").join(joined, "id", "left_anti"))
+    loose_ties = cut(ties.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
     settled = cut(by_full.unionByName(joined).unionByName(_grouped(left, loose_ties)))
 
-    main = F.col("main").alias("name")
-    near = cut(_near_mains(ways.select(*anywhere, main).distinct(), anywhere, nowhere.select(*anywhere, main).distinct()))
-    across = cut(_graded(nowhere, at, near, firsts, anywhere, False, nick))
+    release(spark)
+    across = cut(_graded(nowhere, at, near, "wide", False, nick))
     found = cut(_attach(unplaced, across, settled))
     rest = cut(unplaced.select("id").join(found, "id", "left_anti"))
     among = nowhere.join(rest, "id", "left_semi")
-    labels = settled.unionByName(found).unionByName(_grouped(rest, _graded(among, among, near, firsts, anywhere, True, nick).where("grade = 2")))
+    alike = cut(_graded(among, among, near, "wide", True, nick).where("grade = 2"))
+    labels = cut(settled.unionByName(found).unionByName(_grouped(rest, alike)))
+    release(spark)
     by_form = forms.select("form", "id").join(labels, "id").select("form", F.col("label").alias("entity"))
     return skew_join(read.select("author_no", "form"), by_form, ["form"]).select("author_no", "entity").distinct()
 
