@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphAlreadyExistsError, GraphNotFoundError, graph_name
 from graphloom.graphs.model import PropertyGraph
+from graphloom.session import cut
 
 
 class GraphCatalog:
@@ -27,6 +28,11 @@ class GraphCatalog:
             raise GraphAlreadyExistsError(f"graph {name!r} exists")
         return self.put(name, graph or PropertyGraph.empty(self.spark, directed))
 
+    def settle(self, name: str, graph: PropertyGraph) -> PropertyGraph:
+        """``put`` with the tables materialised, so that edit after edit starts from rows, not from a
+        growing plan."""
+        return self.put(name, PropertyGraph(cut(graph.vertices), cut(graph.edges), graph.directed))
+
     def put(self, name: str, graph: PropertyGraph) -> PropertyGraph:
         """Register or replace a graph and its views ``<name>__v`` and ``<name>__e`` (in backticks where
         the name holds a hyphen)."""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import strip
 from graphloom.graphs.model import PropertyGraph
 from graphloom.operators.centrality import degree_centrality
+from graphloom.operators.structure import component_sizes, components
+from graphloom.session import cut
 
 TREND_UP, TREND_DOWN = 1.2, 0.8
 
@@ -72,6 +74,16 @@ def collaboration_patterns(papers: DataFrame, top: int = 10) -> DataFrame:
     return pairs.unionByName(central).select("kind", rank, "a", "b", "value")
 
 
+def collaboration_clusters(graph: PropertyGraph, top: int = 10, show: int = 10) -> DataFrame:
+    """(``component``, ``size``, ``members``) of the ``top`` largest clusters of works that cite one
+    another, with the first ``show`` members: what is known of collaboration where authors aren't."""
+    labels = cut(components(graph))
+    largest = component_sizes(labels).orderBy(F.desc("size"), "component").limit(top)
+    held = labels.join(F.broadcast(largest), "component")
+    first = held.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("id"))).where(F.col("k") <= show)
+    return first.groupBy("component", "size").agg(F.array_sort(F.collect_list("id")).alias("members"))
+
+
 def yearly(papers: DataFrame) -> DataFrame:
     """(``year``, ``publications``, ``citations``, ``mean_citations``) of papers with a year."""
     c = F.coalesce("citations", F.lit(0))
@@ -103,6 +115,16 @@ def recommend(cites: DataFrame, papers: DataFrame, seed: str, as_of_year: int, t
     return scored.orderBy(F.desc("score"), "id").limit(top)
 
 
+def recommendation_basis(cites: DataFrame, seed: str) -> DataFrame:
+    """One row: ``cited_papers`` and ``citing_papers`` of the seed and the ``candidates`` that cite
+    something it cites; zeros for an unknown seed."""
+    arcs = cites.select("src", "dst").dropna().distinct()
+    own = arcs.where(F.col("src") == F.lit(seed)).select("dst")
+    found = arcs.join(own, "dst", "left_semi").where(F.col("src") != F.lit(seed)).select(F.col("src").alias("id")).distinct().join(own.withColumnRenamed("dst", "id"), "id", "left_anti")
+    counts = arcs.agg(F.count_if(F.col("src") == F.lit(seed)).alias("cited_papers"), F.count_if(F.col("dst") == F.lit(seed)).alias("citing_papers"))
+    return counts.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("candidates"))), F.lit(True))
+
+
 def paper_score(citations: Column, year: Column, as_of_year: int) -> Column:
     """The score of ``recommend``."""
     recent = F.greatest(F.lit(0.0), (F.coalesce(year, F.lit(0)) - (as_of_year - 10)) / 10)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.errors import ValidationError
 from graphloom.graphs.model import PropertyGraph
 from graphloom.operators.kernels import per_component
+from graphloom.operators.optimise import colouring
 from graphloom.session import cut_step as cut
 
 METHODS = ("louvain", "label_propagation", "greedy_modularity")
@@ -27,21 +28,30 @@ def communities(graph: PropertyGraph, method: str = "louvain", weight: str = "we
     return per_component(own, method, "id {id}, community {id}", {"total": float(total), "resolution": resolution}, ("weight",)).select("id", "community")
 
 
-def label_propagation(graph: PropertyGraph, max_rounds: int = 60) -> DataFrame:
-    """(``id``, ``community``) by majority of neighbours' labels; ties keep the own label, then take
-    the least. In each round a hash of id and round says which half of the vertices may change, so
-    neighbours don't swing; ends when no vertex wants to."""
+def label_propagation(graph: PropertyGraph) -> DataFrame:
+    """(``id``, ``community``) by majority of neighbours' labels, semi-synchronously.
+
+    The vertices are coloured; the classes take turns, and all vertices of a class move at once to the
+    label most of their neighbours have, keeping their own among equals, else the least. As
+    neighbours never move together, each move adds edges within communities, so it ends: when no
+    vertex wants another label.
+    """
     both = cut(graph.undirected().arcs().where("src <> dst").select("src", "dst"))
-    labels = cut(graph.vertices.select("id", F.col("id").alias("label")))
-    for r in range(max_rounds):
-        votes = both.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
-        judged = votes.join(labels.select("id", F.col("label").alias("own")), "id")
-        best = judged.groupBy("id").agg(F.min(F.struct(-F.col("n"), (F.col("label") != F.col("own")).cast("int"), "label")).alias("b"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        new = cut(labels.join(best.select("id", F.col("b.label").alias("next")), "id", "left").select("id", F.when(turn, F.coalesce("next", "label")).otherwise(F.col("label")).alias("label"), F.coalesce(F.col("next") != F.col("label"), F.lit(False)).alias("wants")))
-        labels = new.select("id", "label")
-        if not new.where("wants").limit(1).count():
-            break
+    colours = cut(colouring(graph))
+    classes = [r[0] for r in colours.select("colour").distinct().orderBy("colour").collect()]
+    labels = cut(colours.select("id", F.col("id").alias("label"), "colour"))
+    settled = 0
+    while classes and settled < len(classes):
+        for colour in classes:
+            turn = labels.where(F.col("colour") == colour)
+            votes = both.join(turn.select(F.col("id").alias("dst")), "dst").join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
+            judged = votes.join(turn.select("id", F.col("label").alias("own")), "id")
+            best = judged.groupBy("id").agg(F.min(F.struct(-F.col("n"), (F.col("label") != F.col("own")).cast("int"), "label")).alias("b")).select("id", F.col("b.label").alias("next"))
+            new = cut(labels.join(best, "id", "left").select("id", F.coalesce("next", "label").alias("label"), "colour", F.coalesce(F.col("next") != F.col("label"), F.lit(False)).alias("moved")))
+            labels = new.select("id", "label", "colour")
+            settled = 0 if new.where("moved").limit(1).count() else settled + 1
+            if settled == len(classes):
+                break
     least = labels.groupBy("label").agg(F.min("id").alias("community"))
     return labels.join(least, "label").select("id", "community")
 

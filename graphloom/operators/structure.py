@@ -120,6 +120,18 @@ def diameter(graph: PropertyGraph) -> DataFrame:
     return e.where(F.col("least") == n).select("diameter", "radius")
 
 
+def full_statistics(graph: PropertyGraph, distances: bool = True) -> DataFrame:
+    """One row: ``statistics``, the flags of ``connectivity``, and ``diameter`` and ``radius`` (null
+    unless strongly connected, or if ``distances`` is off, as they cost a row for each pair)."""
+    flags = connectivity(graph)
+    flags = flags.select("is_weakly_connected", "is_strongly_connected") if graph.directed else flags.select(F.col("is_weakly_connected").alias("is_connected"))
+    one = statistics(graph).join(F.broadcast(flags), F.lit(True))
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("diameter", "radius")]
+    if not distances or not flags.first()[-1]:
+        return one.select("*", *nothing)
+    return one.join(F.broadcast(diameter(graph)), F.lit(True), "left")
+
+
 def topological_levels(graph: PropertyGraph) -> DataFrame:
     """(``id``, ``level``): longest path from a root; ordering by (level, id) is a topological order.
 

@@ -225,6 +225,50 @@ def test_views_of_similar_names_stay_apart(spark):
     assert spark.sql("SELECT count(*) FROM a_b__v").first()[0] == 2
 
 
+def test_engine_results(spark):
+    from graphloom.errors import InvalidEdgeError, InvalidParamsError, UnknownToolError
+
+    e = Engine(spark)
+    e.run("import_csv", graph="two", csv_data="0,1\n1,2\n0,2\n3,4\n4,5\n3,5")
+    found = e.run("community_detection", graph="two")
+    assert found["num_communities"] == 2 and found["modularity"] > 0 and [r["size"] for r in found["community_sizes"].collect()] == [3, 3]
+    s = e.run("graph_statistics", graph="two").first()
+    assert s["is_connected"] is False and s["diameter"] is None
+    e.run("import_csv", graph="ring", csv_data="0,1\n1,2\n2,0", directed=True)
+    s = e.run("graph_statistics", graph="ring").first()
+    assert (s["is_strongly_connected"], s["diameter"], s["radius"]) == (True, 2, 2)
+    c = e.run("cycles_detection", graph="ring")
+    assert (c["has_cycle"], c["is_dag"], c["num_cycles_found"], c["cycles_truncated"], c["cycles"].first()[0]) == (True, False, 1, False, ["0", "1", "2"])
+    assert e.run("cycles_detection", graph="two")["independent_cycles"] == 2
+    e.run("create_graph", graph="f", directed=True)
+    e.run("add_edges", graph="f", edges=[["s", "a", {"capacity": 10.0}], ["a", "t", {"capacity": 10.0}], ["s", "t", {"capacity": 10.0}]])
+    assert e.run("maximum_flow", graph="f", source="s", sink="t")["flow_value"] == 20
+    papers = spark.createDataFrame([("a", None, 1, 2020)], "id string, authors array<string>, citations long, year int")
+    cites = spark.createDataFrame([("a", "b"), ("c", "d")], "src string, dst string")
+    assert e.run("find_collaboration_patterns", papers=papers, cites=cites).count() == 2
+    r = e.run("recommend_papers", cites=spark.createDataFrame([("seed", "B"), ("C", "B")], "src string, dst string"), papers=papers, as_of_year=2024, seed_paper="seed", top_n=5)
+    assert (r["total_found"], r["based_on"], [x["id"] for x in r["recommendations"].collect()]) == (1, {"cited_papers": 1, "citing_papers": 0}, ["C"])
+    assert "note" in e.run("recommend_papers", cites=cites, papers=papers, as_of_year=2024, seed_doi="zz")
+    runs = spark.createDataFrame([(1, "j", "failure", "2024-01-01", "2024-01-02")], "run_id long, name string, conclusion string, created_at string, updated_at string")
+    assert e.run("get_workflow_status", runs=runs, run_id=1)["failed_jobs"] == ["j"] and e.run("get_workflow_status", runs=runs)["failure_rate"] == "100.0%"
+    assert [r["uri"] for r in e.list_resources()] == ["graph://f", "graph://ring", "graph://two"] and '"source":"0"' in e.read_resource("graph://two")
+    tools = {t["name"]: t for t in e.list_tools()}
+    assert tools["add_nodes"]["writes"] and not tools["pagerank"]["writes"] and tools["maximum_flow"]["required"] == ["graph", "source", "sink"]
+    for error, tool, arguments in ((UnknownToolError, "x", {}), (InvalidParamsError, "pagerank", {}), (InvalidParamsError, "pagerank", {"graph": "f", "y": 1}), (InvalidEdgeError, "add_edges", {"graph": "f", "edges": [["a"]]})):
+        with pytest.raises(error):
+            e.run(tool, **arguments)
+
+
+def test_label_propagation_leaves_no_vertex_that_wants_to_move(spark):
+    rnd = random.Random(4)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(60)) if a != b})
+    label = as_dict(community.label_propagation(graph(spark, edges, nodes=range(31))), value="community")
+    assert label[30] == 30 and len(label) == 31
+    for v in range(30):
+        near = [label[b if a == v else a] for a, b in edges if v in (a, b)]
+        assert not near or near.count(label[v]) == max(near.count(x) for x in near)
+
+
 def test_empty_and_single(spark):
     empty = PropertyGraph.empty(spark)
     assert structure.components(empty).count() == 0
