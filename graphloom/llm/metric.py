@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.skew import hot_keys, skew_join
-from graphloom.session import cut
+from graphloom.session import cut, release
 
 #: Blocks of up to so many names have one pivot, larger ones about PIVOTS times the square root of
 #: their names.
@@ -97,6 +97,7 @@ def radius_pairs(points: DataFrame, queries: DataFrame | None = None) -> DataFra
         met = cells.join(homes, ["block", "pivot", "ring"]).where(F.abs(F.length("a") - F.length("b")) <= F.col("radius"))
         for k in range(FILTERS):
             met = met.where(F.abs(F.col(f"e{k}_a") - F.col(f"e{k}_b")) <= F.col("radius"))
+        release(points.sparkSession)
         near = met.select("block", "radius", "a", "b", F.levenshtein("a", "b", 2).alias("d")).where((F.col("d") >= 0) & (F.col("d") <= F.col("radius")))
         near = near.select("block", "a", "b", F.when((F.col("d") == 2) & (F.length("a") == F.length("b")) & one_exchange(F.col("a"), F.col("b")), 1).otherwise(F.col("d")).alias("d"))
         turned = asked.where((F.length("name") > 1) & (F.col("radius") == 1)).select("block", F.col("name").alias("a"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: _exchanged(F.col("name"), i)))).alias("name")).where("a <> name")

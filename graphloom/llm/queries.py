@@ -51,6 +51,16 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.collapsed(_records(spark, sf_dir), "message")
 
 
+def p3_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the papers, whose fields are columns, so that SQL can find them too."""
+    return merkle.formatting_copies(_records(spark, sf_dir).where("tbl = 'papers'"), "message")
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose form is shared by texts of other characters, a row each, with the size of the class."""
+    return lookalike.look_alike_classes(lookalike.consistent_forms(_shown(spark, sf_dir))).select(F.col("record").alias("record_id"), "field", "class", "texts", "records")
+
+
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the author index with the entity that they mean."""
     return names.entities(read(spark, sf_dir, "author_index"))
@@ -83,6 +93,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_pack(spark, sf_dir), CONTAINER_TOKENS)
 
 
+def p7_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep: pieces, tokens, documents split, and the least number of containers."""
+    packed = p7_pack(spark, sf_dir)
+    split = packed.where("piece > 0").agg(F.countDistinct("doc_id").alias("split"))
+    report = packing.packing_report(packed, CONTAINER_TOKENS)
+    return report.join(F.broadcast(split), F.lit(True)).select("pieces", "tokens", "split", "least_containers", (F.col("fullest") <= CONTAINER_TOKENS).alias("kept"), (F.col("containers") <= 1.01 * F.col("least_containers") + 1).alias("tight"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that leak test items."""
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -93,4 +111,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(read(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_collapsed, p5_found, p5_entities, p6_found, p6_pairs, p7_pack, p7_report, p8_found, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p3_found, p3_papers, p3_collapsed, p5_found, p5_entities, p6_found, p6_pairs, p7_pack, p7_report, p7_volume, p8_found, p9_found)}
