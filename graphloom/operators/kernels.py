@@ -382,6 +382,10 @@ def greedy_modularity(nodes: list, links: list, directed: bool, total: float, re
     yield from _named({v: c for c, own in member.items() for v in own})
 
 
+#: Rows of the table of distances between vertices that a layout holds at once.
+LAYOUT_ROWS = 512
+
+
 @kernel
 def spring_layout(nodes: list, links: list, directed: bool, rounds: int, seed: int) -> Iterator[tuple]:
     """(id, x, y) after ``rounds`` of repelling all and drawing neighbours together, cooling down."""
@@ -389,15 +393,21 @@ def spring_layout(nodes: list, links: list, directed: bool, rounds: int, seed: i
 
     n = len(nodes)
     index = {v: i for i, v in enumerate(nodes)}
-    a = np.zeros((n, n))
-    for s, d, *_ in links:
-        a[index[s], index[d]] = a[index[d], index[s]] = 1.0
+    ends = sorted({(min(index[s], index[d]), max(index[s], index[d])) for s, d, *_ in links if s != d})
+    a, b = (np.array([e[k] for e in ends], dtype=np.int64) for k in (0, 1))
     pos = np.random.default_rng(seed).random((n, 2))
-    k, heat = math.sqrt(1.0 / n), 0.1
+    k, heat = math.sqrt(1.0 / max(n, 1)), 0.1
     for _ in range(rounds if n > 1 else 0):
-        delta = pos[:, None, :] - pos[None, :, :]
-        dist = np.maximum(np.sqrt((delta**2).sum(-1)), 0.01)
-        move = (delta * (k * k / dist**2 - a * dist / k)[..., None]).sum(1)
+        move = np.zeros((n, 2))
+        for at in range(0, n, LAYOUT_ROWS):
+            delta = pos[at : at + LAYOUT_ROWS, None, :] - pos[None, :, :]
+            dist = np.maximum((delta**2).sum(-1), 1e-4)
+            move[at : at + LAYOUT_ROWS] = (delta * (k * k / dist)[..., None]).sum(1)
+        if len(ends):
+            delta = pos[a] - pos[b]
+            pull = delta * (np.maximum(np.sqrt((delta**2).sum(-1)), 0.01) / k)[:, None]
+            np.add.at(move, a, -pull)
+            np.add.at(move, b, pull)
         length = np.maximum(np.sqrt((move**2).sum(-1)), 0.01)
         pos += move * (heat / length)[:, None]
         heat -= 0.1 / (rounds + 1)
@@ -409,32 +419,36 @@ def spring_layout(nodes: list, links: list, directed: bool, rounds: int, seed: i
 
 @kernel
 def kamada_kawai_layout(nodes: list, links: list, directed: bool, rounds: int, seed: int) -> Iterator[tuple]:
-    """(id, x, y): distances in the plane fitted to those in the graph, by stress majorisation."""
+    """(id, x, y): distances in the plane fitted to those in the graph, by stress majorisation.
+
+    Distances in the graph take two bytes a pair of vertices, all else LAYOUT_ROWS rows at a time.
+    """
     import numpy as np
 
     n = len(nodes)
     adj = _adjacency(nodes, links)
     index = {v: i for i, v in enumerate(nodes)}
-    goal = np.full((n, n), float(n))
+    goal = np.full((n, n), min(n, 32767), dtype=np.int16)
     for v in nodes:
-        goal[index[v], index[v]] = 0
         depth, queue = {v: 0}, deque([v])
         while queue:
             x = queue.popleft()
             for u in adj[x]:
                 if u not in depth:
                     depth[u] = depth[x] + 1
-                    goal[index[v], index[u]] = depth[u]
                     queue.append(u)
+        goal[index[v], [index[u] for u in depth]] = list(depth.values())
     turn = 2 * np.pi * np.arange(n) / max(n, 1)
     pos = np.stack([np.cos(turn), np.sin(turn)], 1) * n / 4
-    if n > 1:
-        w = 1.0 / np.where(goal > 0, goal, np.inf) ** 2
-        total = w.sum(1)
-        for _ in range(rounds):
-            delta = pos[:, None, :] - pos[None, :, :]
+    for _ in range(rounds if n > 1 else 0):
+        new = np.empty_like(pos)
+        for at in range(0, n, LAYOUT_ROWS):
+            rows = goal[at : at + LAYOUT_ROWS].astype(float)
+            w = 1.0 / np.where(rows > 0, rows, np.inf) ** 2
+            delta = pos[at : at + LAYOUT_ROWS, None, :] - pos[None, :, :]
             dist = np.maximum(np.sqrt((delta**2).sum(-1)), 1e-9)
-            pos = ((w[..., None] * (pos[None, :, :] + delta * (goal / dist)[..., None])).sum(1)) / total[:, None]
+            new[at : at + LAYOUT_ROWS] = (w[..., None] * (pos[None, :, :] + delta * (rows / dist)[..., None])).sum(1) / w.sum(1)[:, None]
+        pos = new
     pos -= pos.mean(0) if n else 0
     pos /= max(abs(pos).max(), 1e-9) if n else 1
     for v, (x, y) in zip(nodes, pos.tolist(), strict=True):

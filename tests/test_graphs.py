@@ -259,6 +259,19 @@ def test_engine_results(spark):
             e.run(tool, **arguments)
 
 
+def test_louvain_by_rounds_is_as_good_as_in_one_task(spark, monkeypatch):
+    from graphloom.errors import LIMITS
+
+    rnd = random.Random(8)
+    edges = {(min(a, b), max(a, b)) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(20)) if a != b}
+    edges |= {e for c in range(3) for e in itertools.combinations(range(10 * c, 10 * c + 10), 2) if rnd.random() < 0.6}
+    g = graph(spark, [(a, b, float(rnd.randrange(1, 4))) for a, b in sorted(edges)])
+    one = community.modularity(g, community.communities(g)).first()[0]
+    monkeypatch.setitem(LIMITS, "component_nodes", 5)
+    many = community.communities(g)
+    assert community.modularity(g, many).first()[0] >= 0.95 * one and 2 <= many.select("community").distinct().count() <= 6
+
+
 def test_label_propagation_leaves_no_vertex_that_wants_to_move(spark):
     rnd = random.Random(4)
     edges = sorted({(min(a, b), max(a, b)) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(60)) if a != b})
@@ -289,3 +302,8 @@ def test_csv_and_json(spark):
     assert '"source":"A","target":"B"' in text and text.startswith('{"directed": true')
     for kind in ("circular", "spring", "kamada_kawai"):
         assert graph_io.layout(g, kind).count() == 3
+    line = graph(spark, [(i, i + 1) for i in range(6)])
+    at = {r["id"]: r["x"] + 1j * r["y"] for r in graph_io.layout(line, "kamada_kawai").collect()}
+    assert abs(at[0] - at[6]) > 4 * abs(at[0] - at[1])
+    at = {r["id"]: r["x"] + 1j * r["y"] for r in graph_io.layout(line, "spring").collect()}
+    assert abs(at[0] - at[6]) > abs(at[0] - at[1])
