@@ -8,7 +8,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,21 +49,26 @@ _HIDDEN = re.compile(r"[­​-‏⁠﻿]")
 _BROKEN = re.compile(r"(?<=\w)-[ \t]*(?:\r\n|\r|\n)[ \t>|*]*(?=\w)")
 _INNER = re.compile(r"(?<=\w)[-'’‑](?=\w)")
 _ESCAPED = re.compile(r"\\[nrt]")
-_WORD = re.compile(r"[^\W_]+")
-_STARTS = re.compile(r"(?:^|[.!?:;\"“”(\n])\s*$")
+#: A word, and what stands before it if that begins a sentence or a line.
+_WORD = re.compile(r"(^\s*|[.!?:;\"“”(\n]\s*|\s{4,})?([^\W_]+)")
+#: Words of which a worker keeps what it knows.
+WORDS_KEPT = 1 << 17
 
 
-def tokens(text: str) -> list[tuple[str, bool]]:
-    """Words without layout, and whether each owes a capital it has to its place."""
-    text = _TAG.sub(" ", html.unescape(text))
+def _clean(text: str) -> str:
+    """Text without tags, escapes, hidden characters and broken or joined words."""
+    if "&" in text or "<" in text:
+        text = _TAG.sub(" ", html.unescape(text))
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    text = _INNER.sub("", _BROKEN.sub("", _ESCAPED.sub("\n", text)))
-    out = []
-    for m in _WORD.finditer(text):
-        word = m.group()
-        out.append((word, word[0].isupper() and bool(_STARTS.search(text[max(0, m.start() - 4) : m.start()]))))
-    return out
+    if "\\" in text:
+        text = _ESCAPED.sub("\n", text)
+    return _INNER.sub("", _BROKEN.sub("", text))
+
+
+def tokens(text: str) -> list[tuple[str, bool]]:
+    """Words without layout, and whether each owes a capital it has to its place."""
+    return [(word, bool(before)) for before, word in _WORD.findall(_clean(text))]
 
 
 def _writings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,37 +93,48 @@ def item_names(texts: DataFrame, text_col: str) -> frozenset[str]:
     return frozenset(r[0] for r in seen.where("upper > 0 AND lower = 0").select("word").collect())
 
 
-@lru_cache(maxsize=1 << 17)
-def _shape(word: str) -> tuple[str, bool, bool]:
-    """Lower case, whether it begins with a capital, whether it is all capitals."""
-    return word.lower(), word[0].isupper(), word.isupper()
-
-
-def canonical(text: str, names: frozenset[str], numbers: frozenset[str]) -> list[tuple[str, str]]:
-    """(slot or word, word) of each word: numbers, names and units become typed placeholders."""
-    found = tokens(text)
-    shapes = [_shape(w) for w, _ in found]
-    shouted = sum(all_upper for *_, all_upper in shapes) > len(found) / 2
-    out = []
-    for (low, upper, all_upper), (_, first) in zip(shapes, found, strict=True):
-        if low[0].isdigit() or low in numbers:
-            out.append(("<number>", low))
-        elif low in names or (upper and not first and not shouted and not all_upper):
-            out.append(("<name>", low))
-        else:
-            out.append(("<unit>" if low in UNITS else low, low))
-    return out
-
-
-@lru_cache(maxsize=1 << 17)
 def _hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
 
 
-def _rolled(words: list[str], width: int) -> np.ndarray:
+class Canon:
+    """Words as codes: of the word, and of the slot or word in its place; what is known of a word is
+    kept, for up to WORDS_KEPT words at a time."""
+
+    def __init__(self, names: frozenset[str], numbers: frozenset[str]) -> None:
+        self.names, self.numbers, self.kept = names, numbers, {}
+        self.slots = {k: _hash(k) for k in ("<number>", "<name>", "<unit>")}
+
+    def _tell(self, word: str) -> tuple[str, int, str, bool, bool]:
+        low = word.lower()
+        slot = "<number>" if low[0].isdigit() or low in self.numbers else "<name>" if low in self.names else "<unit>" if low in UNITS else ""
+        all_upper = word.isupper()
+        # a capital inside a sentence makes a name of a unit too, but not of a number
+        told = low, _hash(low), slot, word[0].isupper() and not all_upper and slot in ("", "<unit>"), all_upper
+        if len(self.kept) >= WORDS_KEPT:
+            self.kept.clear()
+        self.kept[word] = told
+        return told
+
+    def read(self, text: str) -> tuple[list[str], list[str], list[int], list[int]]:
+        """Of each word: itself in lower case, its slot or '', the code of the word and that of the
+        slot or word. Numbers, names and units become typed placeholders; capitals inside sentences
+        tell names, unless most words are all capitals."""
+        found = _WORD.findall(_clean(text))
+        get, tell = self.kept.get, self._tell
+        told = [get(word) or tell(word) for _, word in found]
+        shouted = sum(t[4] for t in told) * 2 > len(told)
+        name = "<name>"
+        slots = [t[2] for t in told] if shouted else [name if t[3] and not before else t[2] for t, (before, _) in zip(told, found, strict=True)]
+        codes = [t[1] for t in told]
+        by_slot = self.slots
+        return [t[0] for t in told], slots, codes, [by_slot[k] if k else c for k, c in zip(slots, codes, strict=True)]
+
+
+def _rolled(codes: list[int], width: int) -> np.ndarray:
     """64-bit hash of every run of ``width`` words."""
-    out = np.zeros(len(words) - width + 1, np.uint64)
-    each = np.fromiter((_hash(w) for w in words), np.uint64, len(words))
+    each = np.array(codes, np.uint64)
+    out = np.zeros(len(each) - width + 1, np.uint64)
     for k in range(width):
         out = out * _FACTOR + each[k : k + len(out)]
     return out ^ (out >> np.uint64(29))
@@ -133,28 +148,30 @@ TEXTS_A_BATCH = 250
 
 
 def _windower(names: frozenset[str], numbers: frozenset[str], width: int, wanted: np.ndarray | None):
+    canon = Canon(names, numbers)
+
     def windows(ids: list[int], texts: list[str]) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], [], []]
         slots: list[str] = []
         for doc, text in zip(ids, texts, strict=True):
-            form = canonical(text, names, numbers)
-            w = min(width, len(form))
+            words, kinds, codes, places = canon.read(text)
+            w = min(width, len(words))
             if not w or (wanted is not None and not len(wanted)):
                 continue
-            plain = np.cumsum([0] + [p[0] != "<" for p, _ in form])
-            template = _rolled([p for p, _ in form], w)
-            told = plain[w:] > plain[:-w]  # a window of slots alone says nothing
-            if wanted is not None:
-                told &= wanted[np.searchsorted(wanted, template).clip(max=len(wanted) - 1)] == template
-            keep = np.flatnonzero(told)
+            template = _rolled(places, w)
+            told = np.ones(len(template), bool) if wanted is None else wanted[np.searchsorted(wanted, template).clip(max=len(wanted) - 1)] == template
+            if not told.any():
+                continue
+            slot = np.cumsum([0, *map(bool, kinds)])
+            keep = np.flatnonzero(told & (slot[w:] - slot[:-w] < w))  # a window of slots alone says nothing
             if not len(keep):
                 continue
-            exact = _rolled([x for _, x in form], w)
+            exact = _rolled(codes, w)
             if wanted is not None:
                 keep = keep[np.unique(exact[keep], return_index=True)[1]]  # what a page repeats counts once
-            for col, values in zip(cols, (np.full(len(keep), doc, np.int64), np.full(len(keep), len(form), np.int32), keep.astype(np.int32), template[keep].view(np.int64), exact[keep].view(np.int64)), strict=True):
+            for col, values in zip(cols, (np.full(len(keep), doc, np.int64), np.full(len(keep), len(words), np.int32), keep.astype(np.int32), template[keep].view(np.int64), exact[keep].view(np.int64)), strict=True):
                 col.append(values)
-            slots += [" ".join(x for p, x in form[k : k + w] if p[0] == "<") for k in keep]
+            slots += [" ".join(words[i] for i in range(k, k + w) if kinds[i]) for k in keep]
         arrays = [pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(cols, _ARROW, strict=False)]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(slots, pa.string())], schema=_ARROW)
 
