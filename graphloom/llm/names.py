@@ -401,13 +401,16 @@ def entities(authors: DataFrame, nicknames: dict[str, str] | None = None) -> Dat
     release(spark)
     placed, unplaced = forms.where(F.col("aff").isNotNull()), forms.where(F.col("aff").isNull())
     at, nowhere = ways.where(F.col("aff").isNotNull()), ways.where(F.col("aff").isNull())
-    ties = cut(_graded(at, at, near, "here", True, nick).unionByName(_two_apart(at, near[0], nick)))
+    close = cut(_graded(at, at, near, "here", True, nick))
+    release(spark)
+    ties = cut(close.unionByName(_two_apart(at, near[0], nick)))
     release(spark)
     full = placed.where("full").select("id")
     by_full = cut(_grouped(full, ties.where("grade = 2")))
 
     initial = placed.where(~F.col("full"))
     joined = cut(_attach(initial, _both(ties), by_full))
+    release(spark)
     left = cut(initial.select("id").join(joined, "id", "left_anti"))
     loose_ties = cut(ties.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
     settled = cut(by_full.unionByName(joined).unionByName(_grouped(left, loose_ties)))
