@@ -72,8 +72,9 @@ def prose_words(ranked: DataFrame) -> DataFrame:
 
 
 def rank_frequency_curves(ranked: DataFrame, profile: DataFrame) -> DataFrame:
-    """Per distinct text: ``n`` words, ``slope`` and ``residual`` of log frequency over log rank, the best
-    ``share`` of prose words and the language ``best`` it belongs to.
+    """Per distinct text: ``n`` words, ``slope`` and ``residual`` of log frequency over log rank, the
+    ``share`` of prose words of any language (so that a passage in another one isn't strange) and the
+    language ``best`` whose prose words are most frequent.
 
     ``profile`` is bounded (``prose_words``) and broadcast.
     """
@@ -83,8 +84,8 @@ def rank_frequency_curves(ranked: DataFrame, profile: DataFrame) -> DataFrame:
     )
     slope = F.coalesce(F.try_divide(F.col("sxy"), F.col("sxx")), F.lit(0.0))
     residual = F.sqrt(F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0)) / F.col("k"))
-    in_prose = ranked.join(F.broadcast(profile), "word").select("key", "c", F.explode("langs").alias("l")).groupBy("key", "l").agg(F.sum("c").alias("s"))
-    best = in_prose.groupBy("key").agg(F.max("s").alias("s"), F.max_by("l", F.struct("s", "l")).alias("best"))
+    in_prose = ranked.join(F.broadcast(profile), "word").select("key", "c", F.explode(F.concat("langs", F.array(F.lit("")))).alias("l")).groupBy("key", "l").agg(F.sum("c").alias("s"))
+    best = in_prose.groupBy("key").agg(F.max(F.when(F.col("l") == "", F.col("s"))).alias("s"), F.max_by("l", F.when(F.col("l") != "", F.struct("s", "l"))).alias("best"))
     joined = curve.join(best, "key", "left")
     return joined.select("key", "n", slope.alias("slope"), residual.alias("residual"), (F.coalesce("s", F.lit(0)) / F.col("n")).alias("share"), "best", "lang")
 
