@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import AlgorithmError
 from graphloom.graphs.model import PropertyGraph, ranked
+from graphloom.operators import small
 from graphloom.operators.paths import pair_distances
 from graphloom.session import cut_step as cut
 
@@ -44,10 +45,16 @@ def betweenness(graph: PropertyGraph, top: int | None = None, normalized: bool =
     """(``id``, ``score``): exact betweenness of unweighted shortest paths.
 
     All sources advance level by level; path counts are summed forwards, dependencies backwards. The
-    state has a row for each reached pair of vertices and is spread by both.
+    state has a row for each reached pair of vertices and is spread by both. Few edges and vertices
+    (both are counted) are walked in one task.
     """
     arcs = cut(graph.arcs().select("src", "dst").where("src <> dst").distinct())
     n = graph.vertices.count()
+    scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else (1.0 if graph.directed else 0.5)
+    if small.fits(arcs.count(), n):
+        kind = dict(graph.vertices.dtypes)["id"]
+        found = small.in_one_task(arcs.withColumn("weight", F.lit(1.0)), graph.vertices, small.dependencies, f"id {kind}, delta double")
+        return ranked(found.select("id", (F.col("delta") * scale).alias("score")), "score", "id", top)
     levels = [cut(graph.vertices.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("s", "id")
     while True:
@@ -66,7 +73,6 @@ def betweenness(graph: PropertyGraph, top: int | None = None, normalized: bool =
         total = delta.select("id", "delta") if total is None else total.unionByName(delta.select("id", "delta"))
         above = levels[levels.index(level) - 1].select("s", F.col("id").alias("src"), F.col("sigma").alias("up"))
         below = delta.join(arcs, F.col("id") == F.col("dst")).join(above, ["s", "src"]).groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("up") / F.col("sigma") * (1 + F.col("delta"))).alias("d"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else (1.0 if graph.directed else 0.5)
     sums = graph.vertices.select("id").withColumn("delta", F.lit(0.0)) if total is None else graph.vertices.select("id", F.lit(0.0).alias("delta")).unionByName(total)
     return ranked(sums.groupBy("id").agg((F.sum("delta") * scale).alias("score")), "score", "id", top)
 
@@ -105,7 +111,8 @@ def pagerank(graph: PropertyGraph, alpha: float = 0.85, max_rounds: int = 100, t
     """(``id``, ``score``), summing to one; mass of vertices without successors is spread evenly.
 
     Stops when the scores change by less than ``tolerance`` times n in all, at the latest after
-    ``max_rounds``; ``fixed_rounds`` runs so many. Missing weights count 1.
+    ``max_rounds``; ``fixed_rounds`` runs so many. Missing weights count 1. Few edges and vertices
+    (both are counted) are ranked in one task.
     """
     n = graph.vertices.count()
     if not n:
@@ -113,10 +120,21 @@ def pagerank(graph: PropertyGraph, alpha: float = 0.85, max_rounds: int = 100, t
     arcs = PropertyGraph(graph.vertices, graph.weights(weight), graph.directed).arcs()
     out = arcs.groupBy("src").agg(F.sum("weight").alias("total")).where("total > 0")
     share = cut(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    rounds = fixed_rounds or max_rounds
+    if n <= small.LOCAL_ARCS and small.fits(share.count(), 1):
+        kind = dict(graph.vertices.dtypes)["id"]
+        found = small.in_one_task(share.withColumnRenamed("share", "weight"), graph.vertices, small.ranks(alpha, rounds, tolerance if fixed_rounds is None else None), f"id {kind}, score double")
+    else:
+        found = _rank_rounds(graph, share, out, n, alpha, rounds, tolerance, fixed_rounds)
+    return ranked(found, "score", "id", top)
+
+
+def _rank_rounds(graph: PropertyGraph, share: DataFrame, out: DataFrame, n: int, alpha: float, rounds: int, tolerance: float, fixed_rounds: int | None) -> DataFrame:
+    """PageRank by one job a round."""
     walk = cut(graph.vertices.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("goes")), "id", "left").select("id", F.coalesce("goes", F.lit(False)).alias("goes")))
     goes = walk.where("goes").count()
     x = cut(walk.select("id", "goes", F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("moved")))
-    stuck, rounds = 1.0 - goes / n, fixed_rounds or max_rounds
+    stuck = 1.0 - goes / n
     for done in range(1, rounds + 1):
         # one join and one aggregate a round, on the scores of the round before only; every vertex
         # hands a zero to itself, so that all are there and bring their own score along
@@ -129,7 +147,7 @@ def pagerank(graph: PropertyGraph, alpha: float = 0.85, max_rounds: int = 100, t
         stuck = told[0]
         if fixed_rounds is None and told[1] < n * tolerance:
             break
-    return ranked(x.select("id", "score"), "score", "id", top)
+    return x.select("id", "score")
 
 
 def centrality_measures(graph: PropertyGraph, measures: Iterable[str] | None = None) -> DataFrame:

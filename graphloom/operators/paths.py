@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import LIMITS, AlgorithmError, ResourceLimitError
 from graphloom.graphs.model import PropertyGraph
+from graphloom.operators import small
 from graphloom.session import cut_step as cut
 
 
@@ -15,10 +16,13 @@ def bfs(arcs: DataFrame, sources: DataFrame, max_depth: int | None = None, targe
 
     ``sources`` has ``source`` (where a walk starts). Each round joins the frontier only; ``pred`` is
     the least predecessor, so paths are unique. Stops at ``max_depth``, or when every walk has met
-    ``target``. Null sources are left out; repeated ones count once.
+    ``target``. Null sources are left out; repeated ones count once. Few edges and sources (both are
+    counted) are walked in one task.
     """
-    steps = arcs.select("src", "dst").where("src <> dst").distinct()
-    frontier = cut(sources.select("source").dropna().distinct().select("source", F.col("source").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(dict(arcs.dtypes)["src"]).alias("pred")))
+    steps, kind = cut(arcs.select("src", "dst").where("src <> dst").distinct()), dict(arcs.dtypes)["src"]
+    frontier = cut(sources.select("source").dropna().distinct().select("source", F.col("source").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("pred")))
+    if small.fits(steps.count(), frontier.count()):
+        return cut(small.in_one_task(steps.withColumn("weight", F.lit(1.0)), frontier.select("id"), small.walks(max_depth), f"source {kind}, id {kind}, depth int, pred {kind}"))
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1

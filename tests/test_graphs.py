@@ -80,6 +80,24 @@ def test_components_by_rounds_and_in_one_task(spark, monkeypatch, local):
     assert c.component_labels(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_rounds_and_one_task_agree(spark, monkeypatch, directed):
+    from graphloom.operators import small
+
+    rnd = random.Random(13)
+    edges = sorted({(rnd.randrange(18), rnd.randrange(18)) for _ in range(34)})
+    g = graph(spark, [(a, b, float(rnd.randrange(1, 5))) for a, b in edges if directed or a <= b], directed, nodes=range(20))
+    sources = spark.createDataFrame([(0,), (3,), (3,), (None,)], "source long")
+    got = []
+    for arcs in (50_000, 0):
+        monkeypatch.setattr(small, "LOCAL_ARCS", arcs)
+        walk = sorted(map(tuple, paths.bfs(g.arcs(), sources).collect()), key=repr)
+        near = sorted(map(tuple, paths.bfs(g.arcs(), sources, 2).collect()), key=repr)
+        scores = [{k: round(v, 9) for k, v in as_dict(f).items()} for f in (centrality.betweenness(g), centrality.pagerank(g), centrality.pagerank(g, fixed_rounds=7), centrality.closeness(g))]
+        got.append((walk, near, scores))
+    assert got[0] == got[1] and len(got[0][2][0]) == 20 and abs(sum(got[0][2][1].values()) - 1) < 1e-6
+
+
 def test_weighted_square(spark):
     g = graph(spark, [(0, 1, 1.0), (1, 2, 2.0), (2, 3, 3.0), (0, 3, 4.0)])
     assert [r["id"] for r in paths.weighted_path(g, 0, 2).orderBy("step").collect()] == [0, 1, 2]
