@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import AlgorithmError, GraphOperationError, ValidationError
 from graphloom.graphs.model import PropertyGraph
+from graphloom.operators import small
 from graphloom.operators.centrality import degrees
 from graphloom.operators.kernels import per_component
 from graphloom.session import cut_step as cut
@@ -19,13 +20,18 @@ def spanning_forest(graph: PropertyGraph, weight: str | None = "weight", algorit
 
     In each round every component takes its lightest edge outwards (ties by the ends, so the forest
     is unique) and components so joined merge; rounds grow with the logarithm of the vertices. The
-    names kruskal, prim and boruvka give the same forest.
+    names kruskal, prim and boruvka give the same forest. Few edges (they are counted) are done in one
+    task.
     """
     if graph.directed:
         raise GraphOperationError("a spanning forest needs an undirected graph")
     if algorithm not in ("kruskal", "prim", "boruvka"):
         raise ValidationError(f"unknown algorithm {algorithm!r}")
     left = cut(graph.weights(weight).where("src <> dst").select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")))
+    if small.fits(left.count(), 1):
+        kind = dict(graph.vertices.dtypes)["id"]
+        one = left.select(F.col("src").alias("id")).limit(1)
+        return small.in_one_task(left, one, small.lightest_forest, f"src {kind}, dst {kind}, weight double")
     forest = left.select("src", "dst", "weight").limit(0)
     while left.limit(1).count():
         edge = F.struct("weight", "src", "dst")

@@ -114,3 +114,53 @@ def ranks(alpha: float, rounds: int, tolerance: float | None) -> Callable[[pd.Da
         return pd.DataFrame({"id": ids, "score": x})
 
     return run
+
+
+def strong_sets(arcs: pd.DataFrame, ids: list) -> pd.DataFrame:
+    """(``id``, ``component``): the least vertex of each one's strong component (Tarjan 1972)."""
+    after, found, low, label, stack, path = _after(arcs), {}, {}, {}, [], []
+    for start in ids:
+        if start in found:
+            continue
+        path.append((start, iter(after.get(start, ()))))
+        found[start] = low[start] = len(found)
+        stack.append(start)
+        while path:
+            v, rest = path[-1]
+            for u in rest:
+                if u not in found:
+                    found[u] = low[u] = len(found)
+                    stack.append(u)
+                    path.append((u, iter(after.get(u, ()))))
+                    break
+                if u not in label:
+                    low[v] = min(low[v], found[u])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
+                if low[v] == found[v]:
+                    own = [stack.pop()]
+                    while own[-1] != v:
+                        own.append(stack.pop())
+                    label.update(dict.fromkeys(own, min(own)))
+    return pd.DataFrame({"id": ids, "component": [label[v] for v in ids]})
+
+
+def lightest_forest(arcs: pd.DataFrame, ids: list) -> pd.DataFrame:
+    """(``src``, ``dst``, ``weight``) of the edges that join what lighter ones don't (Kruskal 1956)."""
+    root, taken = {}, []
+
+    def find(v: object) -> object:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for w, a, b in sorted(zip(arcs["weight"].tolist(), arcs["src"].tolist(), arcs["dst"].tolist(), strict=True)):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            taken.append((a, b, w))
+    columns = list(zip(*taken, strict=True)) or [[], [], []]
+    return pd.DataFrame(dict(zip(("src", "dst", "weight"), columns, strict=True)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphOperationError
 from graphloom.graphs.model import PropertyGraph
+from graphloom.operators import small
 from graphloom.operators.centrality import degrees
 from graphloom.operators.components import component_labels
 from graphloom.operators.kernels import per_component
@@ -29,12 +30,16 @@ def strong_components(graph: PropertyGraph) -> DataFrame:
     """(``id``, ``component``): least id of the strongly connected component of every vertex.
 
     Vertices without predecessors or successors are set aside; the least ids spread along and against
-    the edges, and where both meet a component is complete; the rest is taken on.
+    the edges, and where both meet a component is complete; the rest is taken on. Few edges and
+    vertices (both are counted) are done in one task.
     """
     if not graph.directed:
         return components(graph)
     vertices = cut(graph.vertices.select("id"))
     arcs = cut(graph.edges.select("src", "dst").where("src <> dst").distinct())
+    if small.fits(arcs.count(), 1) and vertices.count() <= small.LOCAL_ARCS:
+        kind = dict(vertices.dtypes)["id"]
+        return cut(small.in_one_task(arcs.withColumn("weight", F.lit(1.0)), vertices, small.strong_sets, f"id {kind}, component {kind}"))
     done = vertices.select("id", F.col("id").alias("component")).limit(0)
     while True:
         while True:  # trim

@@ -94,7 +94,9 @@ def test_rounds_and_one_task_agree(spark, monkeypatch, directed):
         walk = sorted(map(tuple, paths.bfs(g.arcs(), sources).collect()), key=repr)
         near = sorted(map(tuple, paths.bfs(g.arcs(), sources, 2).collect()), key=repr)
         scores = [{k: round(v, 9) for k, v in as_dict(f).items()} for f in (centrality.betweenness(g), centrality.pagerank(g), centrality.pagerank(g, fixed_rounds=7), centrality.closeness(g))]
-        got.append((walk, near, scores))
+        strong = as_dict(structure.strong_components(g), value="component")
+        forest = sorted(map(tuple, optimise.spanning_forest(g.undirected()).select("src", "dst", "weight").collect()))
+        got.append((walk, near, scores, strong, forest))
     assert got[0] == got[1] and len(got[0][2][0]) == 20 and abs(sum(got[0][2][1].values()) - 1) < 1e-6
 
 
