@@ -51,7 +51,7 @@ def ranked_words(texts: DataFrame) -> DataFrame:
     path = scratch_path(texts.sparkSession, "ranked")
     distinct = texts.groupBy("key").agg(F.mode("lang", True).alias("lang"), F.first("words").alias("words"))
     counts = distinct.select("key", "lang", F.explode(F.split("words", " ")).alias("word")).groupBy("key", "word").agg(F.first("lang").alias("lang"), F.count(F.lit(1)).alias("c"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), "word"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c")))  # which of equal words comes first changes no curve
     counts.select("key", "lang", "word", "c", rank.alias("r")).write.parquet(path)
     return texts.sparkSession.read.parquet(path)
 
