@@ -77,7 +77,8 @@ def radius_pairs(points: DataFrame, queries: DataFrame | None = None) -> DataFra
 
     All joins are equi-joins on (block, pivot, ring) over distinct names. Beyond ONE_CELL names in a
     block, distances to pivots grow as n ** 1.5 and pairs met inside cells about as n ** 1.6
-    (measured on family names, whose metric space has a high dimension: a name lies near many
+    (estimated from the share of pairs of family names that meet at different numbers of pivots;
+    their metric space has a high dimension, so a name lies near many
     pivots' borders). Rows are few and short, the work on each is large, so partitions are coalesced
     to as many as there are cores only. The result is materialised. Null names and blocks match
     nothing; an empty side gives no rows.
