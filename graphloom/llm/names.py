@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.text import once
 from graphloom.llm.metric import radius_pairs
 from graphloom.operators.components import component_labels
 from graphloom.operators.skew import skew_join
-from graphloom.session import cut, release
+from graphloom.session import cut_step as cut
+from graphloom.session import release
 
 # Titles, particles, nicknames, words of institutions and their short forms.
 TITLES = frozenset("dr prof professor mr mrs ms sir dame rev phd md msc ba ma dsc jr sr ii iii".split())
@@ -276,8 +279,9 @@ def learn_nicknames(ways: DataFrame, known: dict[str, str]) -> dict[str, str]:
 
 def readings_of(forms: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     """A row for every way to read every form and every letter under which a matching rest is found:
-    ``id``, ``kind``, ``aff``, ``reading``, ``main``, ``rest``, ``first`` (name), ``letter``, and the
-    blocks ``here`` and, for long main parts, ``named`` (null without an institution) and ``wide``.
+    ``id``, ``kind``, ``aff``, ``reading``, ``main``, ``rest``, ``first`` (name), ``spelt``, the name
+    that this is short for, ``letter``, and the blocks ``here`` and, for long main parts, ``named``
+    (null without an institution) and ``wide``.
 
     Two given names that match share the first letter, that of the name a nickname stands for, or the
     second letter, whatever single edit lies between them. A person without a given name matches
@@ -285,11 +289,11 @@ def readings_of(forms: DataFrame, nicknames: dict[str, str]) -> DataFrame:
     """
     way = forms.select("id", "kind", "aff", F.explode("ways").alias("way")).select("id", "kind", "aff", F.col("way.how").alias("reading"), F.col("way.main").alias("main"), F.col("way.rest").alias("rest"))
     person = F.col("kind") == "person"
-    named = way.where(~person | (F.col("rest") != "")).withColumn("first", F.when(person, F.substring_index("rest", " ", 1)).otherwise(""))
-    letters = F.array_distinct(F.filter(F.array(F.left("first", F.lit(1)), F.left(_spelt_out("first", nicknames), F.lit(1)), F.substr("first", F.lit(2), F.lit(1))), lambda c: c != ""))
+    named = way.where(~person | (F.col("rest") != "")).withColumn("first", F.when(person, F.substring_index("rest", " ", 1)).otherwise("")).select("*", once(_spelt_out("first", nicknames)).alias("spelt"))
+    letters = F.array_distinct(F.filter(F.array(F.left("first", F.lit(1)), F.left("spelt", F.lit(1)), F.substr("first", F.lit(2), F.lit(1))), lambda c: c != ""))
     told = named.withColumn("letter", F.explode(F.when(person, letters).otherwise(F.array(F.lit("")))))
     long = person & (F.length("main") >= LONG) & (F.length("first") > 1)
-    named = F.when(long, _block(F.lit("n"), "aff", _spelt_out("first", nicknames)))
+    named = F.when(long, _block(F.lit("n"), "aff", "spelt"))
     return told.withColumn("here", _block(F.lit("h"), "kind", "aff", "letter")).withColumn("wide", _block(F.lit("w"), "kind", "letter")).withColumn("named", named)
 
 
@@ -300,11 +304,11 @@ def _block(*parts: Column | str) -> Column:
 
 
 def _spelt_out(c: str, nicknames: dict[str, str]) -> Column:
-    pairs = [F.lit(x) for kv in sorted(nicknames.items()) for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(c)), F.col(c)) if pairs else F.col(c)
+    names = F.from_json(F.lit(json.dumps(nicknames)), "map<string,string>")
+    return F.coalesce(F.try_element_at(names, F.col(c)), F.col(c)) if nicknames else F.col(c)
 
 
-def _near(ways: DataFrame, nicknames: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def _near(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Near main parts (``block``, ``main_a``, ``main_b``, ``d``) in the blocks ``here``, ``named`` and
     ``wide`` of ``ways``, and near full first names (``letter``, ``first_a``, ``first_b``), the empty
     one of organisations included.
@@ -313,14 +317,12 @@ def _near(ways: DataFrame, nicknames: dict[str, str]) -> tuple[DataFrame, DataFr
     are near within one edit (if equal, where one has up to three letters), in the blocks ``named``
     of one institution and first name within two.
     """
-    firsts = cut(ways.where(F.length("first") != 1).select("letter", "first").distinct())
-    spelt = _spelt_out("first", nicknames)
-    known = cut(firsts.select("letter", "first", _block(F.lit("f"), "letter").alias("block"), F.explode(F.array_distinct(F.array(spelt, F.regexp_replace(spelt, "(?<=[aou])e", "")))).alias("name")))
+    firsts = ways.where(F.length("first") != 1).select("letter", "first", "spelt").distinct()
+    known = cut(firsts.select("letter", "first", _block(F.lit("f"), "letter").alias("block"), F.explode(F.array_distinct(F.array("spelt", F.regexp_replace("spelt", "(?<=[aou])e", "")))).alias("name")))
     mains = lambda df, c, r: df.where(F.col(c).isNotNull()).select(F.col(c).alias("block"), F.col("main").alias("name"), F.lit(r).alias("radius"))
     both = mains(ways, "here", 1).unionByName(mains(ways, "named", 2)).unionByName(known.select("block", "name", F.lit(1).alias("radius")))
-    points = both.unionByName(mains(ways, "wide", 1)).distinct()
-    queries = both.unionByName(mains(ways.where(F.col("aff").isNull()), "wide", 1)).distinct()
-    near = radius_pairs(points, queries)
+    points = both.unionByName(mains(ways, "wide", 1))
+    near = radius_pairs(points, both.unionByName(mains(ways.where(F.col("aff").isNull()), "wide", 1)))
     side = lambda x: known.select("block", "letter", F.col("first").alias(f"first_{x}"), F.col("name").alias(x))
     near_firsts = near.join(side("a"), ["block", "a"]).join(side("b").drop("letter"), ["block", "b"]).select("letter", "first_a", "first_b").distinct()
     near_mains = near.where((F.col("d") == 0) | (F.least(F.length("a"), F.length("b")) > 3))
@@ -394,10 +396,10 @@ def entities(authors: DataFrame, nicknames: dict[str, str] | None = None) -> Dat
     rows = authors.where(F.col("author_no").isNotNull()).select(F.col("author_no").cast("bigint").alias("author_no"), "given", "family", "name", "affiliation").mapInPandas(_reader, _FORM)
     read = cut(rows)
     forms = cut(read.groupBy("form").agg(F.min("author_no").alias("id"), F.first("kind").alias("kind"), F.first("aff").alias("aff"), F.first("full").alias("full"), F.first("ways").alias("ways")))
-    plain = readings_of(forms, {}).drop("letter", "here", "wide", "named").distinct()
+    plain = readings_of(forms, {}).drop("spelt", "letter", "here", "wide", "named").distinct()
     nick = learn_nicknames(plain, NICKNAMES if nicknames is None else nicknames)
     ways = cut(readings_of(forms, nick))
-    near = _near(ways, nick)
+    near = _near(ways)
     release(spark)
     placed, unplaced = forms.where(F.col("aff").isNotNull()), forms.where(F.col("aff").isNull())
     at, nowhere = ways.where(F.col("aff").isNotNull()), ways.where(F.col("aff").isNull())

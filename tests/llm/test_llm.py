@@ -102,6 +102,24 @@ def test_radius_join_against_brute_force_and_a_deletion_index(spark, monkeypatch
     assert metric.radius_pairs(points.limit(0)).count() == 0
 
 
+def test_radius_join_keeps_only_pivots_in_reach(spark, monkeypatch):
+    monkeypatch.setattr(metric, "ONE_CELL", 1)
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(900)})
+    words = sorted({*words, *(w[:2] + w[3] + w[2] + w[4:] for w in words[:9]), words[1] + "a"})
+    points = spark.createDataFrame([("x", w) for w in words], "block string, name string").withColumn("radius", F.lit(1))
+    pivots = metric._pivots(points.select("block", "name"), [])
+    flagged = points.withColumn("holds", F.lit(True)).withColumn("asks", F.col("name") < "c")
+    placed = metric._placed(flagged, pivots, []).select("asks", F.size("reach").alias("n")).collect()
+    every = len(pivots.first()["pivots"])
+    assert every > 30 and max(r["n"] for r in placed) < every  # distances to pivots out of reach are not kept
+    assert sum(r["n"] for r in placed if not r["asks"]) < 0.2 * every * len(words)
+    found = metric.radius_pairs(points.unionByName(points), points.where("name < 'c'").unionByName(points.where("name < 'b'")))
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    assert sorted(got) == sorted((a, b) for a in words if a < "c" for b in words if names.edit_distance(a, b, 1) <= 1)  # each once
+    assert found._jdf.queryExecution().optimizedPlan().constraints().isEmpty()  # else planning of later joins takes the driver's memory
+
+
 def test_long_names_two_edits_apart_and_learnt_nicknames(spark):
     rows = [(1, "Karl", "Hartwickson", "Inst A"), (2, "Karl", "Hartvicson", "Inst A"), (3, "K.", "Hartvikson", "Inst B"), (4, "Karl", "Hartwickson", "Inst B"), (5, "Karl", "Hart", "Inst A"), (6, "Karl", "Harp", "Inst A")]
     rows += [(10 + 2 * k + j, n, f"Qua{c}{c}umel", f"Inst {c}") for k, c in enumerate("bdfg") for j, n in enumerate(("Ferapontina", "Fonty"))]
