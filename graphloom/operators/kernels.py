@@ -23,6 +23,9 @@ from graphloom.operators.matching import heaviest_matching
 from graphloom.operators.components import component_labels
 from graphloom.session import cut
 
+#: Vertices, about, that are handed to Python at once, in whole components.
+GROUP_NODES = 1_000
+
 Graph = dict
 KERNELS: dict[str, Callable[..., Iterator[tuple]]] = {}
 
@@ -36,12 +39,14 @@ def kernel(f: Callable[..., Iterator[tuple]]) -> Callable[..., Iterator[tuple]]:
 def per_component(graph: PropertyGraph, name: str, columns: str, options: dict | None = None, attributes: tuple[str, ...] = ()) -> DataFrame:
     """Rows of kernel ``name`` on every weakly connected component, with its ``component``.
 
-    ``columns`` is the schema of a row; ``{id}`` stands for the type of ids.
+    ``columns`` is the schema of a row; ``{id}`` stands for the type of ids. Components are handed to
+    Python by hash, about GROUP_NODES vertices at once, as most may be single vertices.
     """
     kind = dict(graph.vertices.dtypes)["id"]
     values = [F.col(a).cast("double").alias(a) if a in graph.edges.columns else F.lit(None).cast("double").alias(a) for a in attributes]
     labels = cut(graph.vertices.select("id").join(component_labels(graph.edges), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-    largest = labels.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    sizes = labels.groupBy("component").count()
+    largest, every = sizes.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
     if largest > LIMITS["component_nodes"]:
         raise ResourceLimitError(f"a component of {largest} vertices; the limit is {LIMITS['component_nodes']}")
     vertices = labels.select("component", F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), *(F.lit(None).cast("double").alias(a) for a in attributes))
@@ -52,14 +57,22 @@ def per_component(graph: PropertyGraph, name: str, columns: str, options: dict |
 
     def apply(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame["dst"].isna()
-        nodes = sorted(frame.loc[own, "src"].tolist())
-        links = sorted(frame.loc[~own, ["src", "dst", *attributes]].itertuples(index=False, name=None))
-        if nodes and not isinstance(nodes[0], str):
-            links = [(int(a), int(b), *rest) for a, b, *rest in links]
-        label = frame["component"].iloc[0]
-        return pd.DataFrame([(label, *row) for row in run(nodes, links, directed, **opts)], columns=names)
-
-    return vertices.unionByName(edges).groupBy("component").applyInPandas(apply, f"component {kind}, {fields}")
+        nodes, links = defaultdict(list), defaultdict(list)
+        for label, v in zip(frame.loc[own, "component"].tolist(), frame.loc[own, "src"].tolist(), strict=True):
+            nodes[label].append(v)
+        for label, *link in frame.loc[~own, ["component", "src", "dst", *attributes]].itertuples(index=False, name=None):
+            links[label].append(tuple(link))
+        out = []
+        for label in sorted(nodes):
+            each, edges = sorted(nodes[label]), sorted(links[label])
+            if not isinstance(each[0], str):
+                edges = [(int(a), int(b), *rest) for a, b, *rest in edges]
+            out += [(label, *row) for row in run(each, edges, directed, **opts)]
+        return pd.DataFrame(out, columns=names)
+
+    # a group for each component would cost a call of Python for every vertex without edges
+    bucket = F.pmod(F.xxhash64("component"), F.lit(-(-every // GROUP_NODES) or 1))
+    return vertices.unionByName(edges).groupBy(bucket.alias("bucket")).applyInPandas(apply, f"component {kind}, {fields}")
 
 
 def _split(fields: str) -> list[str]:

@@ -13,7 +13,7 @@ from graphloom.graphs.model import PropertyGraph
 from graphloom.operators import centrality, community, optimise, paths, structure
 from graphloom.plans import views
 from graphloom.plans.views import CITES, COPART, DOI_SQL, TRADE
-from graphloom.session import read
+from graphloom.session import cut, read
 from graphloom.sources import graph_io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,7 +484,7 @@ def graph_coloring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coloring_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coloured parts (by saturation) and neighbours of the same colour, of which there are none."""
     g = views.copart(spark, sf_dir)
-    c = optimise.colouring(g, "DSATUR")
+    c = cut(optimise.colouring(g, "DSATUR"))
     sides = g.edges.join(c.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst")
     return c.agg(F.count(F.lit(1)).alias("coloured")).join(F.broadcast(sides.agg(F.count_if(F.col("a") == F.col("b")).alias("conflicts"))), F.lit(True))
 

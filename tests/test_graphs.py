@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.engine import Engine
 from graphloom.errors import AlgorithmError, GraphAlreadyExistsError, GraphNotFoundError, GraphOperationError, NodeNotFoundError, ValidationError, graph_name
 from graphloom.graphs.model import PropertyGraph
-from graphloom.operators import centrality, community, optimise, paths, structure
+from graphloom.operators import centrality, community, kernels, optimise, paths, structure
 from graphloom.operators.matching import heaviest_matching
 from graphloom.sources import graph_io
 
@@ -327,3 +327,17 @@ def test_csv_and_json(spark):
     assert abs(at[0] - at[6]) > 4 * abs(at[0] - at[1])
     at = {r["id"]: r["x"] + 1j * r["y"] for r in graph_io.layout(line, "spring").collect()}
     assert abs(at[0] - at[6]) > abs(at[0] - at[1])
+
+
+def test_single_vertices_are_handed_to_python_together(spark, monkeypatch):
+    edges = [(10 * k + i, 10 * k + j) for k in range(40) for i, j in ((1, 2), (2, 3), (1, 3), (3, 4))]
+    vertices = spark.range(1_000).withColumn("name", F.col("id").cast("string"))
+    pairs = spark.createDataFrame(edges, "src long, dst long")
+    named = PropertyGraph(vertices.select(F.col("name").alias("id")), pairs.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
+    for graph, number in ((PropertyGraph(vertices.select("id"), pairs), int), (named, str)):
+        found = {}
+        for size in (3, 10**6):
+            monkeypatch.setattr(kernels, "GROUP_NODES", size)
+            found[size] = {r["id"]: r["colour"] for r in optimise.colouring(graph, "DSATUR").collect()}
+        assert found[3] == found[10**6] and len(found[3]) == 1_000
+        assert all(found[3][number(a)] != found[3][number(b)] for a, b in edges)
