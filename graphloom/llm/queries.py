@@ -13,25 +13,35 @@ from graphloom.session import read
 CONTAINER_TOKENS = 4096
 MIN_SHARED = 5
 MIN_LIFT = 3
+SOLE = "sole author"
 
 
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and lists of authors; those of one author have a field of their own, SOLE."""
     works = read(spark, sf_dir, "crossref_works").select(F.col("record_id").alias("id"), F.col("message.title").alias("title"), F.col("message.author").alias("author"))
     titles = works.where(F.size("title") > 0).select("id", F.lit("title").alias("field"), lookalike.joined(F.col("title")).alias("raw"))
-    people = works.where(F.size("author") > 1)
+    people = works.where(F.size("author") > 0)
     names = F.flatten(F.transform("author", lambda a: F.array(a["given"], a["family"])))
-    return titles.unionByName(people.select("id", F.lit("author").alias("field"), lookalike.joined(names).alias("raw")))
+    return titles.unionByName(people.select("id", F.when(F.size("author") > 1, "author").otherwise(SOLE).alias("field"), lookalike.joined(names).alias("raw")))
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = lookalike.consistent_forms(_shown(spark, sf_dir))
+    return forms.withColumn("field", F.when(F.col("field") == SOLE, "author").otherwise(F.col("field")))
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every title and author list; parts are set apart by bars."""
-    forms = lookalike.consistent_forms(_shown(spark, sf_dir))
+    forms = _forms(spark, sf_dir)
     return forms.select(F.col("id").alias("record_id"), "field", F.translate("form", lookalike.SEPARATOR + lookalike.MISSING, "|").alias("form"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose titles or author lists look the same but differ in their characters."""
-    return lookalike.visually_equal(lookalike.consistent_forms(_shown(spark, sf_dir)))
+    """Records whose titles or lists of several authors look the same but differ in their characters.
+
+    The words of sole authors are read too, as words that exist, though their records are no case.
+    """
+    return lookalike.visually_equal(lookalike.consistent_forms(_shown(spark, sf_dir)).where(F.col("field") != SOLE))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +68,7 @@ def p3_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose form is shared by texts of other characters, a row each, with the size of the class."""
-    return lookalike.look_alike_classes(lookalike.consistent_forms(_shown(spark, sf_dir))).select(F.col("record").alias("record_id"), "field", "class", "texts", "records")
+    return lookalike.look_alike_classes(_forms(spark, sf_dir)).select(F.col("record").alias("record_id"), "field", "class", "texts", "records")
 
 
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import leaks, lookalike, merkle, metric, names, packing, pairs, spam
+from graphloom.llm import leaks, lookalike, merkle, metric, names, packing, pairs, queries, spam
 
 
 # look-alikes ---------------------------------------------------------------------------------
@@ -31,6 +31,17 @@ def test_look_alikes(spark):
     assert lookalike.consistent_forms(texts.limit(0)).count() == 0
 
 
+def test_sole_authors_have_forms_and_tell_words(spark, tmp_path):
+    latin, mixed = ("Ann", "Zorbek"), ("Ann", "Zоrbek")  # Cyrillic о
+    rows = [(1, [latin]), (2, [mixed]), (3, [("Bo", "Li"), mixed]), (4, [("Bo", "Li"), ("Ann", "Zо\u200brbek")]), (5, None), (6, [])]
+    message = "id long, message struct<title: array<string>, author: array<struct<given: string, family: string>>>"
+    works = spark.createDataFrame([(i, (["One"], people)) for i, people in rows], message).withColumnRenamed("id", "record_id")
+    works.write.parquet(str(tmp_path / "crossref_works.parquet"))
+    forms = {(r["record_id"], r["form"]) for r in queries.p2_forms(spark, str(tmp_path)).where("field = 'author'").collect()}
+    assert forms == {(1, "Ann|Zorbek"), (2, "Ann|Zorbek"), (3, "Bo|Li|Ann|Zorbek"), (4, "Bo|Li|Ann|Zorbek")}  # the word is known from 1 only
+    assert {tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()} == {("author", 3, 4)}
+
+
 # formatting copies ---------------------------------------------------------------------------
 
 
